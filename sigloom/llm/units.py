@@ -1,0 +1,92 @@
+"""Cutting texts where every pre-tokenizer used here cuts too, and caching what follows.
+
+The byte-level pre-tokenizers split a text by alternatives none of which
+matches a blank after a non-blank.  So a blank or line end that follows a
+non-blank always opens a new piece, and the tokens of a text are the tokens of
+the *units* between such places, one after another.  Word frequencies are
+skewed, so a bounded cache of units saves most of the work.  Texts in which a
+blank or line end follows white space, or that hold special strings, go to the
+tokenizer whole.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterable, Sequence
+
+#: White space before a blank or line end: the text isn't cut there.
+_RUN = re.compile(r"\s[ \n]")
+#: Longer units aren't kept in the cache.
+_LONG = 48
+
+
+class UnitEncoder:
+    """Encodes texts unit by unit.
+
+    ``parts`` encodes many short strings that begin where a piece begins (with
+    their leading blank or line end), ``whole`` a text that can't be cut; both
+    give bytes, which are joined.  The cache has two generations of ``limit``
+    units, so its size never grows with the input.
+    """
+
+    def __init__(self, parts: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], special: Iterable[str] = (), limit: int = 400_000) -> None:
+        self._parts, self._whole, self._special, self._limit = parts, whole, tuple(special), limit
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The codes of units that the young cache lacks."""
+        old, young, got, later, new = self._old.get, self._young.get, {}, [], []
+        for piece in missing:
+            code = old(piece)
+            if code is not None:
+                got[piece] = code
+            # A closing mark after a letter is a piece of its own, so the word before it is enough.
+            elif len(piece) > 2 and piece[-1] in ".,;:!?" and piece[-2].isalpha() and piece[-2] < "԰":
+                later.append(piece)
+            else:
+                new.append(piece)
+        words = {p[:-1] for p in later}
+        for word in words:
+            code = young(word) or got.get(word) or old(word)
+            if code is not None:
+                got[word] = code
+            elif word not in missing:
+                new.append(word)
+        if new:
+            got.update(zip(new, self._parts([p if p[:1] == "\n" else " " + p for p in new]), strict=True))
+        if later:
+            for mark in {p[-1] for p in later} - self._marks.keys():
+                self._marks[mark] = self._parts([mark])[0]
+            for piece in later:
+                got[piece] = got[piece[:-1]] + self._marks[piece[-1]]
+        if len(self._young) + len(got) > self._limit:
+            self._old, self._young = self._young, {}
+        self._young.update((p, c) for p, c in got.items() if len(p) <= _LONG)
+        return got
+
+    def encode_many(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The joined codes of whole texts; nothing for null."""
+        out: list = []
+        missing: set[str] = set()
+        get = self._young.get
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif _RUN.search(text) or any(s in text for s in self._special):
+                out.append(self._whole(text))
+            else:
+                pieces = text.replace("\n", " \n").split(" ")
+                codes = list(map(get, pieces))
+                if pieces[0]:
+                    codes[0] = self._parts([pieces[0]])[0]
+                else:
+                    codes[0] = b""
+                if None in codes:
+                    missing.update(p for p, c in zip(pieces, codes, strict=True) if c is None)
+                    out.append((pieces, codes))
+                else:
+                    out.append(b"".join(codes))
+        got = self._learn(missing).__getitem__ if missing else None
+        return [x if isinstance(x, bytes) else b"".join([got(p) if c is None else c for p, c in zip(*x, strict=True)]) for x in out]
