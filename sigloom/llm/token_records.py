@@ -158,9 +158,9 @@ def token_records(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id:
     """
     space = Workspace(spark, "records")
     folder = f"{space.path}/shards"
-    index = space.cut(write(docs, folder if "://" in folder or ":/" in folder else f"file://{folder}", tokenizer, end_id), "index")
-    uri = folder if ":/" in folder else f"file://{folder}"
-    back = read(index, uri, tokenizer)
+    folder = folder if ":/" in folder else f"file://{folder}"
+    index = space.cut(write(docs, folder, tokenizer, end_id), "index")
+    back = read(index, folder, tokenizer)
     # A row a shard, so this window is over as many rows as there are shards.
     totals = index.groupBy("shard_no").agg(F.sum("n_tokens").alias("held"))
     before = Window.orderBy("shard_no").rowsBetween(Window.unboundedPreceding, -1)
