@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.llm.byte_bpe import round_trip
+from sigloom.llm.language_id import language_id
 from sigloom.llm.packing import pack
+from sigloom.llm.quality_classifier import quality_classifier
+from sigloom.llm.quality_rules import oracle as quality_rules_sql
+from sigloom.llm.quality_rules import quality_rules
 from sigloom.llm.storage import table
 from sigloom.llm.token_counts import token_counts
 from sigloom.llm.token_records import token_records
@@ -18,6 +22,26 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def trusted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that are labelled good; ids of good labels filter the documents before the join's shuffle."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi").select("text")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality_rules(spark, docs, trusted(spark, docs, sf_dir))
+    return out.drop("n_grams", "score")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_records(spark, table(spark, sf_dir, "documents"), BYTE_BPE)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -36,9 +60,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_token_records": op4_token_records,
     "op6_token_counts": op6_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality_rules_sql(),
+}
