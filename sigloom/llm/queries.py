@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.llm.byte_bpe import round_trip
 from sigloom.llm.language_id import language_id
+from sigloom.llm.minhash_dedup import minhash_dedup
 from sigloom.llm.packing import pack
 from sigloom.llm.quality_classifier import quality_classifier
 from sigloom.llm.quality_rules import oracle as quality_rules_sql
@@ -51,6 +52,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(spark, table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_records": op4_token_records,
     "op6_token_counts": op6_token_counts,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
 }
