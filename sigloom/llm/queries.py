@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.llm.byte_bpe import round_trip
+from sigloom.llm.embedding_dedup import embedding_dedup
 from sigloom.llm.language_id import language_id
 from sigloom.llm.minhash_dedup import minhash_dedup
 from sigloom.llm.packing import pack
@@ -48,6 +49,10 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_records": op4_token_records,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op9_byte_bpe": op9_byte_bpe,
