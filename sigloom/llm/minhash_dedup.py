@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.components import components
@@ -210,3 +210,16 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
     out = known.join(least, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, but one document of each group of near-duplicates: that of the smallest id.
+
+    Of rows repeated with one doc_id the first by text stays.  Rows without an id stay.
+    """
+    gone = minhash_dedup(spark, docs.select("doc_id", "text"), width, percent).where("NOT kept").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    # The join has brought equal ids together already.
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = known.select(F.struct(*(F.col(f"`{c}`") for c in known.columns)).alias("row"), "doc_id", place.alias("place")).where("place = 1").select("row.*")
+    return once.unionByName(docs.where("doc_id IS NULL"))

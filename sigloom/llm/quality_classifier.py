@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.storage import Workspace
@@ -138,6 +138,17 @@ def train(rows: DataFrame) -> Discriminant:
     return Discriminant({c: (v[0], v[1 : size + 1], v[size + 1 :].reshape(size, size)) for c, v in enumerate(got) if v[0]})
 
 
+def held_out(folds: int) -> Column:
+    """Rows whose ``crc32(doc_id)`` is 0 modulo ``folds``; never those without an id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
+
+
+def fit(known: DataFrame, labels: DataFrame, folds: int) -> Discriminant:
+    """Train on the vectors (doc_id, x) that have a label and aren't held out."""
+    marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out(folds))
+    return train(known.join(marks, "doc_id").select("x", "quality"))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, cut: float = 0.3) -> DataFrame:
     """Score every document as ``labels.quality`` would mark it.
 
@@ -148,10 +159,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame,
     labels every score is 0.5.  A null doc_id isn't held out.  Repeated rows
     are scored alike; other columns are ignored; no rows give none.
     """
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     known = Workspace(spark, "statistics").cut(vectors(docs), "x")
-    marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held)
-    sent = spark.sparkContext.broadcast(train(known.join(marks, "doc_id").select("x", "quality")))
+    sent = spark.sparkContext.broadcast(fit(known, labels, folds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -160,4 +169,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame,
             score = model.scores(x)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return known.select("doc_id", held.alias("held_out"), "x").mapInArrow(run, SCHEMA)
+    return known.select("doc_id", held_out(folds).alias("held_out"), "x").mapInArrow(run, SCHEMA)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_classifier`` predicts 1; scored where they are read, without a join."""
+    sent = spark.sparkContext.broadcast(fit(vectors(docs), labels, folds))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield part.filter(pa.array(sent.value.scores(np.array([statistics(t) for t in part.column(at).to_pylist()])) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -65,6 +65,29 @@ def log_ratio(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((trusted + 1) / (trusted.sum() + len(trusted))) - np.log((raw + 1) / (raw.sum() + len(raw)))
 
 
+def judge(text: str | None, ratio: np.ndarray, threshold: float) -> tuple:
+    """Counts, base_failed, kept, n_grams and score of a whole text."""
+    n_words, chars, symbols, lines, repeats = base_counts(text)
+    failed = n_words < 20 or 100 * repeats > 30 * n_words
+    grams = hashed(text, len(ratio))
+    score = float(ratio[grams].sum() / len(grams)) if len(grams) else 0.0
+    return n_words, chars, symbols, lines, repeats, failed, not failed and score >= threshold, len(grams), score
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_rules`` keeps; judged where they are read, without a join."""
+    sent = spark.sparkContext.broadcast(log_ratio(counts(trusted, buckets), counts(docs, buckets)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield part.filter(pa.array([judge(t, sent.value, threshold)[6] for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Counts, score and verdict for every document.
 
@@ -74,20 +97,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame, thre
     rules alone decide.  Repeated rows are judged alike; other columns are
     ignored; no rows give none.
     """
-    model = log_ratio(counts(trusted, buckets), counts(docs, buckets))
-    sent = spark.sparkContext.broadcast(model)  # ``buckets`` doubles
+    sent = spark.sparkContext.broadcast(log_ratio(counts(trusted, buckets), counts(docs, buckets)))  # ``buckets`` doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = sent.value
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                rows = []
-                for text in batch.column(1).slice(k, 256).to_pylist():
-                    n_words, chars, symbols, lines, repeats = base_counts(text)
-                    failed = n_words < 20 or 100 * repeats > 30 * n_words
-                    grams = hashed(text, buckets)
-                    score = float(ratio[grams].sum() / len(grams)) if len(grams) else 0.0
-                    rows.append((n_words, chars, symbols, lines, repeats, failed, not failed and score >= threshold, len(grams), score))
+                rows = [judge(text, sent.value, threshold) for text in batch.column(1).slice(k, 256).to_pylist()]
                 yield pa.record_batch(
                     [batch.column(0).slice(k, 256).cast(pa.int64()), *(pa.array(c) for c in zip(*rows, strict=True))],
                     names=[x.split()[0] for x in SCHEMA.split(", ")],

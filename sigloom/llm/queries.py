@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sigloom.llm.byte_bpe import round_trip
 from sigloom.llm.embedding_dedup import embedding_dedup
 from sigloom.llm.language_id import language_id
+from sigloom.llm.license_scan import license_scan, tree_path
+from sigloom.llm.license_scan import oracle as license_sql
 from sigloom.llm.minhash_dedup import minhash_dedup
 from sigloom.llm.packing import pack
 from sigloom.llm.quality_classifier import quality_classifier
@@ -61,6 +64,13 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(spark, table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree; a document that states a licence stands for a licence file of its directory."""
+    files = table(spark, sf_dir, "documents").select(tree_path().alias("path"), "text")
+    # The path ends in the digits of the document's id.
+    return license_scan(spark, files, stated_counts=True).select(F.replace(F.regexp_extract("path", "^[^/]*/[^/]*/(.*)$", 1), F.lit("/"), F.lit("")).cast("long").alias("doc_id"), "*")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
 
@@ -77,9 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules_sql(),
+    "op8_license_scan": license_sql(),
 }
