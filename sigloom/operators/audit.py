@@ -108,6 +108,7 @@ def bayesian_draws(n: int, seed: int, objective: Callable[[Expression], float |
     for number in range(100 * n):
         parameters, e = sampler.ask()
         if e.json() in seen:
+            sampler.tell(parameters, math.nan)  # so that it looks elsewhere
             continue
         seen.add(e.json())
         out.append((number, e))

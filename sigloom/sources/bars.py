@@ -87,7 +87,7 @@ def download(tickers: Iterable[str], fetch: Callable[[str], object], folder: str
                 if frame is None or frame.empty:
                     raise ValueError(f"no rows for {name}")
                 partial = path.with_suffix(".tmp")
-                frame.to_parquet(partial)
+                frame.to_parquet(partial, coerce_timestamps="us", allow_truncated_timestamps=True)  # Spark reads no nanoseconds
                 partial.replace(path)
                 break
             except (OSError, RuntimeError, ValueError):
