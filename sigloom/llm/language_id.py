@@ -43,8 +43,6 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     two = codes[:-1] << _SHIFT | codes[1:]
     three = two[:-1] << _SHIFT | codes[2:]
     grams = np.concatenate([codes[~blank], two[~(blank[:-1] & blank[1:])], three[~(blank[1:-1])]])
-    if not len(grams):
-        return grams, grams
     return np.unique(grams, return_counts=True)
 
 
@@ -95,7 +93,7 @@ def train(rows: DataFrame, size: int = SIZE) -> dict[str, list[int]]:
 
         def out(lang: str) -> pa.RecordBatch:
             grams, count = merged(lang)
-            return pa.record_batch([pa.array([lang] * len(grams)), pa.array(grams), pa.array(count)], names=["lang", "gram", "n"])
+            return pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(count, pa.int64())], names=["lang", "gram", "n"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -137,7 +135,7 @@ def language_id(spark: SparkSession, docs: DataFrame, folds: int = 4, fold: int
             for k in range(0, batch.num_rows, 256):
                 got = [profiles.predict(t) for t in batch.column(2).slice(k, 256).to_pylist()]
                 yield pa.record_batch(
-                    [batch.column(0).slice(k, 256).cast(pa.int64()), batch.column(1).slice(k, 256), pa.array([x for x, _ in got]), pa.array([s for _, s in got])],
+                    [batch.column(0).slice(k, 256).cast(pa.int64()), batch.column(1).slice(k, 256), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
                     names=["doc_id", "held_out", "lang_pred", "score"],
                 )
 
