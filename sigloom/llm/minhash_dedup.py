@@ -8,10 +8,14 @@
    centre, the document that shares most buckets, so the number of pairs is
    linear in the rows.  Pairs are confirmed on full sets.
 3. Buckets whose documents are then in one component are done.  In the others,
-   documents of different components are paired.  The Jaccard distance is a
-   metric, so documents whose confirmed distances to the bucket's centre differ
-   by more than the allowed distance can't be linked, and aren't paired.  Large
-   buckets are cut finer by a second band first.
+   documents of different components are paired only where a link is possible.
+   The shingles of all waiting documents are counted: those of one document
+   can't be shared, those of at most ``RARE`` are rare, the rest are common.  A
+   pair either shares a rare shingle, by which it is found in a group of at most
+   ``RARE``, or its common shingles alone must be enough, which leaves few
+   documents outside the component of their bucket's centre.  Both ways
+   together lose no link; the Jaccard distance being a metric, distances to the
+   centre may not differ by more than the allowed distance either.
 4. Components of confirmed links are found by union-find (see ``components``).
 
 Hot buckets: counts, centres and component bounds are partial aggregates; joins
@@ -35,8 +39,8 @@ from sigloom.llm.storage import Workspace
 BANDS, ROWS = 32, 5
 #: Members of one centre that are compared in one group.
 BLOCK = 512
-#: Documents above which a bucket of several components is cut finer.
-FINE = 256
+#: Documents that a rare shingle has at most; it only decides by which of two exact ways a pair is found.
+RARE = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -155,6 +159,19 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return parts.select("a", "b", "text").mapInArrow(run, "a long, b long, both long, all long")
 
 
+def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """shingle and rep: a row for each shingle of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                sets = [shingles(t, width) for t in batch.column(1).slice(k, 64).to_pylist()]
+                ids = np.repeat(batch.column(0).slice(k, 64).to_numpy(), [len(x) for x in sets])
+                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids)], names=["shingle", "rep"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "shingle long, rep long")
+
+
 def minhash_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -167,7 +184,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
     """
     space = Workspace(spark, "minhash")
     known = space.cut(sketches(docs, width, bands, rows), "sketches")
-    classes = space.cut(known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
+    classes = space.cut(known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("n_shingles").alias("n_shingles")), "classes")
 
     # Buckets of two documents or more, each row with the number of documents that its document meets anywhere.
     rows_ = classes.select("rep", F.explode("keys").alias("key"))
@@ -184,25 +201,44 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
     stars = space.cut(confirm(placed.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), texts, width), "stars")
     first = components(stars.where(linked).select("a", "b"), space, "first")
 
-    # Each member with its component and its distance to the centre.
+    # Each member with its component, that of the centre, and its distance to the centre.
     far = stars.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("all")).alias("far"))
     known_by = (
         placed.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .join(far, ["centre", "rep"], "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("rep") == F.col("centre")).alias("is_centre"))
-    )
-    open_ = known_by.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    # The centre has met everyone; the others wait for those of other components.
-    waiting = space.cut(known_by.join(open_.select("key", "size"), "key").where("NOT is_centre"), "waiting")
-    fine = waiting.where(F.col("size") > FINE)
-    second = fine.join(waiting.select("rep", F.col("key").alias("other")), "rep").where("key <> other")
-    cut = waiting.where(F.col("size") <= FINE).select(F.col("key").alias("k1"), F.lit(0).cast("long").alias("k2"), "rep", "component", "far").unionByName(
-        second.select(F.least("key", "other").alias("k1"), F.greatest("key", "other").alias("k2"), "rep", "component", "far")
+        .join(first.select(F.col("node").alias("centre"), F.col("component").alias("main")), "centre", "left")
+        .join(far, ["centre", "rep"])  # the centre itself has met everyone
+        .select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("main", "centre").alias("main"), "far")
     )
-    left = cut.select("k1", "k2", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("far").alias("fa"))
-    right = cut.select("k1", "k2", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("far").alias("fb"))
-    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("fa") - F.col("fb")) <= 1 - percent / 100 + 1e-9)
-    rest = space.cut(confirm(space.cut(left.join(right, ["k1", "k2"]).where(apart).select("a", "b").distinct(), "rest-pairs"), texts, width), "rest")
+    open_ = known_by.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    waiting = space.cut(known_by.join(open_, "key").join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"), "waiting")
+    # Shingles of the waiting documents: those of one document only, those of few, and the common ones.
+    every = space.cut(shingle_rows(texts.join(waiting.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "shingles")
+    counted = every.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
+    solo = counted.where("df = 1").groupBy("rep").agg(F.count("*").alias("solo"))
+    few = space.cut(every.join(counted.where(F.col("df").between(2, RARE)).select("shingle"), "shingle"), "few")
+    told = waiting.join(solo, "rep", "left").join(few.groupBy("rep").agg(F.count("*").alias("rare")), "rep", "left").na.fill(0, ["solo", "rare"])
+    told = told.withColumn("common", F.col("n") - F.col("solo") - F.col("rare"))
+    enough = lambda shared, n, m: shared * (100 + percent) >= percent * (n + m)
+
+    # Links that common shingles alone allow: within a bucket, for documents outside its centre's component.
+    least = told.groupBy("key").agg(F.min("n").alias("least"))
+    other_n = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    able = space.cut(told.join(least, "key").where(enough(F.col("common"), F.col("n"), other_n)).drop("least"), "able")
+    apart = (F.col("component") != F.col("main")).alias("apart")
+    side = lambda x, *more: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "common", *more)]
+    left, right = able.where("component <> main").select("key", *side("a", "far")), able.select("key", *side("b", "far"), apart)
+    near = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9
+    once = (F.col("component_a") != F.col("component_b")) & (~F.col("apart") | (F.col("rep_a") < F.col("rep_b")))
+    by_common = left.join(right, "key").where(once & near & enough(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b")))
+
+    # All others need a shingle of few documents in common, so they are found by it.
+    reps = told.groupBy("rep").agg(*(F.any_value(c).alias(c) for c in ("component", "n", "common", "rare")))
+    sharing = few.join(reps, "rep")
+    most = F.least("common_a", "common_b") + F.least("rare_a", "rare_b")
+    sides = sharing.select("shingle", *side("a", "rare")).join(sharing.select("shingle", *side("b", "rare")), "shingle")
+    by_rare = sides.where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & enough(most, F.col("n_a"), F.col("n_b")))
+    pairs = by_common.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(by_rare.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    rest = space.cut(confirm(space.cut(pairs.distinct(), "rest-pairs"), texts, width), "rest")
 
     links = stars.where(linked).select("a", "b").unionByName(rest.where(linked).select("a", "b"))
     groups = components(links, space, "groups")
