@@ -84,12 +84,13 @@ def read_record(folder: str, shard: str, place: int, size: int) -> bytes:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
     """Encode and write all documents in ascending ``doc_id`` order; gives the index, as yet unrun.
 
-    Null ids come first; rows with one id are ordered by text.  A null text is
+    Null ids come first; rows with one id are ordered by a hash of their text.  A null text is
     the end token alone.  Range partitioning balances rows, not keys, so hot
     sources or copies don't matter; memory holds one record at a time.
     """
     count = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(count, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Range partitioning sends a sample of its keys to the driver, so texts take part by their hash.
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(count, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(tokenizer), TaskContext.get()
@@ -115,7 +116,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards:
             if out:
                 out.close()
 
-    return ordered.mapInArrow(run, INDEX)
+    return ordered.drop("h").mapInArrow(run, INDEX)
 
 
 def read(index: DataFrame, folder: str, tokenizer: str) -> DataFrame:
