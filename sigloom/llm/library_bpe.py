@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 from collections.abc import Sequence
@@ -86,3 +88,15 @@ class LibraryEncoder:
 def encoder(path: str) -> LibraryEncoder:
     """Python workers are reused, so the cache of units lasts from task to task."""
     return LibraryEncoder(path)
+
+
+def release() -> None:
+    """Give the worker's encoders and their caches back to the system, for tasks of other stages that run in it later."""
+    import pyarrow as pa
+
+    encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries keep freed pages
+    if trim:
+        trim(0)

@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.components import components
-from sigloom.llm.library_bpe import encoder
 from sigloom.llm.storage import Workspace
 
 #: Bands, and rows of a band.  With 32 of 5, a pair of similarity 0.8 shares no bucket with probability 3e-6, one of 0.85 with 7e-9.
@@ -114,7 +113,6 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        encoder.cache_clear()  # a worker that packed before gives its tokenizer's cache back
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 sizes, digests, keys = [], [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sigloom.llm.library_bpe import encoder
+from sigloom.llm.library_bpe import encoder, release
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _ARROW = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in [x.split()[0] for x in SCHEMA.split(", ")]])
@@ -111,7 +111,7 @@ class TierPacker:
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, tiers: int = 4, step_tokens: int = 16 * 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, tiers: int = 4, step_tokens: int = 16 * 2048, end_id: int = 1, keep_caches: bool = True) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` tokens.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored, whatever
@@ -119,7 +119,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, tiers: int = 4, st
     rows are packed each for itself; a null ``doc_id`` stays null; no rows give
     no rows.  Sequences and step groups are numbered within a task above
     ``partition << 40``; ``tier`` is the sequence's context size.  At the end
-    of a task at most one sequence is left short.
+    of a task at most one sequence is left short.  ``keep_caches`` leaves the
+    encoder to later tasks of a worker; without it a task gives its memory back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,5 +136,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, tiers: int = 4, st
                     yield packer.take()
         packer.finish()
         yield packer.take()
+        if not keep_caches:
+            del enc
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
