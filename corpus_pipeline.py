@@ -33,8 +33,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in windows of 2048 tokens."""
-    return pack(docs, BYTE_BPE)
+    """Pieces of the kept documents in windows of 2048 tokens; workers don't hold the encoder's memory after it."""
+    return pack(docs, BYTE_BPE, keep_caches=False)
 
 
 STAGES = [
