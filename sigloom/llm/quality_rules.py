@@ -6,8 +6,10 @@ n-grams of the logarithm of the ratio of both, so it doesn't grow with length.
 Every document is kept or rejected by a fixed threshold; nothing is sampled.
 
 The counts are summed per task before they are shuffled, at most ``buckets``
-rows a task, whatever the documents; the model is ``buckets`` numbers, which is
-all that the driver and the tasks ever hold.
+rows a task, whatever the documents; the model is ``buckets`` numbers.  Trusted
+texts that are given by their ids are found without a shuffle of texts: the ids
+go to the tasks in blocks of at most ``BLOCK``, one narrow pass a block, and a
+block is all that the driver and the tasks hold besides the model.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from sigloom.llm.textstats import base_counts
 
 #: Number of hash buckets, length of the n-grams, and the lowest score that is kept, in nats an n-gram.
 BUCKETS, NGRAM, THRESHOLD = 1 << 14, 3, -0.4
+#: Ids that are sent to the tasks at once: 8 bytes each, so 16 MB in the driver and in a Python worker.
+BLOCK = 2_000_000
 #: Factors of the hash, one a place: hash = (sum of code point * factor) mod PRIME mod buckets.
 FACTORS, PRIME = (1_000_003, 10_007, 101), 2_147_483_647
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_grams long, score double"
@@ -40,24 +45,56 @@ def hashed(text: str | None, buckets: int = BUCKETS, n: int = NGRAM) -> np.ndarr
     return total % PRIME % buckets
 
 
-def counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Occurrences of each bucket in the column ``text`` of all rows."""
+def counts(texts: DataFrame, buckets: int = BUCKETS, ids: Broadcast | None = None) -> np.ndarray:
+    """Occurrences of each bucket in the column ``text`` of all rows, or of those whose ``doc_id`` is in ``ids`` (ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                grams = [hashed(t, buckets) for t in batch.column(0).slice(k, 256).to_pylist()]
+            own = batch.column(0)
+            if ids is not None:
+                x = batch.column(1).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                own = own.filter(pa.array(ids.value[np.minimum(np.searchsorted(ids.value, x), len(ids.value) - 1)] == x))
+            for k in range(0, len(own), 256):
+                grams = [hashed(t, buckets) for t in own.slice(k, 256).to_pylist()]
                 total += np.bincount(np.concatenate(grams), minlength=buckets)
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for bucket, n in texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    rows = texts.select("text") if ids is None else texts.where("doc_id IS NOT NULL").select("text", "doc_id")
+    for bucket, n in rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
         out[bucket] = n
     return out
 
 
+def id_blocks(ids: DataFrame, most: int = BLOCK) -> Iterator[np.ndarray]:
+    """All distinct values of the column ``doc_id``, each in one ascending block; dealt by a hash in slices of about a quarter of ``most``."""
+    known = ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    slices = 1 + 4 * known.count() // most
+    cut = known.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
+    parts: list[list[int]] = []
+    held = most
+    for k, n in sorted(cut.groupBy("slice").count().collect()):
+        if held + n > most:
+            parts.append([])
+            held = 0
+        parts[-1].append(k)
+        held += n
+    for part in parts:  # slices of a block follow one another
+        yield np.sort(cut.where(F.col("slice").between(part[0], part[-1])).select("doc_id").toArrow()["doc_id"].to_numpy())
+
+
+def counts_by_id(spark: SparkSession, docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, most: int = BLOCK) -> np.ndarray:
+    """Occurrences of each bucket in all rows of ``docs`` whose ``doc_id`` is in ``ids``: a narrow pass a block of ids."""
+    total = np.zeros(buckets, np.int64)
+    for block in id_blocks(ids, most):
+        sent = spark.sparkContext.broadcast(block)
+        total += counts(docs, buckets, sent)
+        sent.destroy()
+    return total
+
+
 def log_ratio(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Logarithm of the ratio of both multinomials, each with one more of every bucket; zeros if there is nothing to trust."""
     if not trusted.sum():
@@ -74,9 +111,13 @@ def judge(text: str | None, ratio: np.ndarray, threshold: float) -> tuple:
     return n_words, chars, symbols, lines, repeats, failed, not failed and score >= threshold, len(grams), score
 
 
-def keep_by_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def _counted(trusted: DataFrame | np.ndarray, buckets: int) -> np.ndarray:
+    return trusted if isinstance(trusted, np.ndarray) else counts(trusted, buckets)
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame | np.ndarray, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``docs``, all columns, that ``quality_rules`` keeps; judged where they are read, without a join."""
-    sent = spark.sparkContext.broadcast(log_ratio(counts(trusted, buckets), counts(docs, buckets)))
+    sent = spark.sparkContext.broadcast(log_ratio(_counted(trusted, buckets), counts(docs, buckets)))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,16 +129,17 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame, thre
     return docs.mapInArrow(run, docs.schema)
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame | np.ndarray, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Counts, score and verdict for every document.
 
-    ``trusted`` is a table of texts (column ``text``) known to be good.  A null
+    ``trusted`` is a table of texts (column ``text``) known to be good, or the
+    counts of their ``buckets`` (see ``counts_by_id``).  A null
     or empty text has zero counts and fails the base rules; a text without an
     n-gram scores 0; with no trusted texts at all every score is 0, so the base
     rules alone decide.  Repeated rows are judged alike; other columns are
     ignored; no rows give none.
     """
-    sent = spark.sparkContext.broadcast(log_ratio(counts(trusted, buckets), counts(docs, buckets)))  # ``buckets`` doubles
+    sent = spark.sparkContext.broadcast(log_ratio(_counted(trusted, buckets), counts(docs, buckets)))  # ``buckets`` doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

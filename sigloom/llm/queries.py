@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from sigloom.llm.minhash_dedup import minhash_dedup
 from sigloom.llm.packing import pack
 from sigloom.llm.quality_classifier import quality_classifier
 from sigloom.llm.quality_rules import oracle as quality_rules_sql
-from sigloom.llm.quality_rules import quality_rules
+from sigloom.llm.quality_rules import counts_by_id, quality_rules
 from sigloom.llm.storage import table
 from sigloom.llm.token_counts import token_counts
 from sigloom.llm.token_records import token_records
@@ -27,15 +28,9 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-#: Most texts that the trusted multinomial is fitted on, the first by a hash of their ids.
-TRUSTED = 20_000
-
-
-def trusted(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = TRUSTED) -> DataFrame:
-    """Texts that are labelled good; their ids are so few that texts needn't be shuffled to join them."""
-    good = table(spark, sf_dir, "labels").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    fitted = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(fitted), "doc_id", "left_semi").select("text")
+def trusted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> np.ndarray:
+    """Bucket counts of all texts that are labelled good."""
+    return counts_by_id(spark, docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

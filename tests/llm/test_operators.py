@@ -22,7 +22,7 @@ from sigloom.llm.library_bpe import LibraryEncoder
 from sigloom.llm.license_scan import license_scan
 from sigloom.llm.minhash_dedup import keep_first, minhash_dedup, shingles, signature
 from sigloom.llm.packing import pack
-from sigloom.llm.queries import BYTE_BPE, MULTI_RANKS
+from sigloom.llm.queries import BYTE_BPE, MULTI_RANKS, QUERIES
 from sigloom.llm.storage import Workspace
 from sigloom.llm.textstats import base_counts
 from sigloom.llm.token_counts import ChunkMap, Counter as TokenCounter, compose, prefix_scan, token_counts
@@ -203,6 +203,27 @@ def test_rules_reject_what_trusted_texts_lack(spark):
     assert all(got[k] for k in range(60)) and not any(got[k] for k in range(60, 66))
 
 
+def test_trusted_counts_take_every_good_label(spark, tmp_path):
+    ids = spark.range(20_500).orderBy(F.xxhash64("id"), "id").toPandas()["id"].tolist()
+    rng = random.Random(8)
+    rare = " ".join("".join(rng.choice("qxzjkw") for _ in range(7)) for _ in range(40))
+    spark.createDataFrame([(k, rare if k == ids[-1] else "aaa") for k in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    # All texts are trusted, so every ratio is 0.
+    assert QUERIES["op1_quality_rules"](spark, str(tmp_path)).where("NOT base_failed").select("doc_id", "kept").collect() == [(ids[-1], True)]
+
+
+def test_counts_by_id_equal_a_join_in_any_blocks(spark):
+    docs = awkward(spark)
+    good = spark.createDataFrame([(k,) for k in [3, 3, 8, 9, 11, 14, 15, 16, 99, None]], "doc_id long")
+    want = qr.counts(docs.join(good.distinct(), "doc_id", "left_semi"))
+    for most in (1, 3, 100):
+        blocks = list(qr.id_blocks(good, most))
+        assert sorted(np.concatenate(blocks).tolist()) == [3, 8, 9, 11, 14, 15, 16, 99] and (most < 100 or len(blocks) == 1)
+        assert (qr.counts_by_id(spark, docs, good, most=most) == want).all()
+    assert not qr.counts_by_id(spark, docs, good.limit(0)).any() and not qr.counts_by_id(spark, empty(spark), good).any()
+
+
 def test_classifier_separates_held_out_rows(spark):
     rng = random.Random(5)
     vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(400)]
