@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.components import components
@@ -107,8 +107,13 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64("text").alias("text_key")
+
+
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and bucket keys of every document."""
+    """doc_id, a hash of the text, n_shingles, digest of the set (null if empty) and bucket keys of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -122,11 +127,11 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     keys.append(band_keys(signature(own, bands * rows), bands, rows) if len(own) else None)
                 yield pa.record_batch(
-                    [batch.column(0).slice(k, 256).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "keys"],
+                    [batch.column(0).slice(k, 256).cast(pa.int64()), batch.column(2).slice(k, 256), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n_shingles", "digest", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.select("doc_id", "text", text_key()).mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, keys array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -172,19 +177,11 @@ def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "shingle long, rep long")
 
 
-def minhash_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
-
-    Documents whose sets of ``width``-word shingles (A-Z lower-cased) overlap by
-    ``percent`` per cent or more are linked.  Null and empty texts have no set
-    and link with nothing; a text of fewer words is one shingle.  ``doc_id`` is
-    a document's key: rows repeated with it get equal results.  A row with a null doc_id is linked with
-    nothing and is kept, with a null component.  Other columns are ignored; no
-    rows give none.
-    """
+def grouped(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_key, n_shingles, node, component_id and kept of every row; rows of one ``node`` are linked (null without a set or an id)."""
     space = Workspace(spark, "minhash")
     known = space.cut(sketches(docs, width, bands, rows), "sketches")
-    classes = space.cut(known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("n_shingles").alias("n_shingles")), "classes")
+    classes = space.cut(known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.any_value("keys").alias("keys"), F.any_value("n_shingles").alias("n_shingles")).select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
 
     # Buckets of two documents or more, each row with the number of documents that its document meets anywhere.
     rows_ = classes.select("rep", F.explode("keys").alias("key"))
@@ -194,8 +191,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
     centres = members.groupBy("key").agg(F.max(F.struct("met", F.negative("rep").alias("rep"))).alias("c")).select("key", F.negative("c.rep").alias("centre"))
     placed = space.cut(members.join(centres, "key").select("key", "rep", "centre"), "placed")
 
-    involved = placed.select(F.col("rep").alias("doc_id")).distinct()
-    texts = space.cut(docs.select("doc_id", "text").where("text IS NOT NULL").join(involved, "doc_id", "left_semi"), "texts")
+    # One text a class, however often its row is repeated and whatever else has its doc_id.
+    involved = placed.select("rep").distinct().join(classes, "rep").select("rep", "first.doc_id", "first.text_key")
+    found = docs.where("text IS NOT NULL").select("doc_id", "text", text_key()).join(involved, ["doc_id", "text_key"])
+    texts = space.cut(found.groupBy("doc_id", "text_key").agg(F.min("rep").alias("rep"), F.min("text").alias("text")).select(F.col("rep").alias("doc_id"), "text"), "texts")
 
     linked = F.col("both") * 100 >= F.col("all") * percent
     stars = space.cut(confirm(placed.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), texts, width), "stars")
@@ -242,10 +241,27 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
 
     links = stars.where(linked).select("a", "b").unionByName(rest.where(linked).select("a", "b"))
     groups = components(links, space, "groups")
-    least = classes.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = known.join(least, "digest", "left")
+    members = classes.select("digest", "rep", F.col("first.doc_id").alias("first")).join(groups, F.col("rep") == F.col("node"), "left").select("digest", "first", F.coalesce("component", "rep").alias("node"), F.col("component").isNotNull().alias("more"))
+    least = members.where("more").groupBy("node").agg(F.min("first").alias("least"))
+    told = members.join(least, "node", "left").select("digest", "node", F.coalesce("least", "first").alias("component_id"))
+    out = known.join(told, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    node = F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")
+    return out.select("doc_id", "text_key", "n_shingles", node, component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    Documents whose sets of ``width``-word shingles (A-Z lower-cased) overlap by
+    ``percent`` per cent or more are linked.  Null and empty texts have no set
+    and link with nothing; a text of fewer words is one shingle.  ``doc_id`` is
+    a document's key: rows repeated with it get equal results; if its texts
+    differ, each is judged by itself.  A row with a null doc_id is linked with
+    nothing and is kept, with a null component.  Other columns are ignored; no
+    rows give none.
+    """
+    return grouped(spark, docs, width, percent, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

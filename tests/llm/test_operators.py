@@ -318,6 +318,27 @@ def test_groups_equal_brute_force(spark):
         assert all(r.n_shingles == len(sets[k]) and r.kept == (want[k] == k) for k, r in got.items())
 
 
+def test_repeated_rows_and_clashing_ids_lose_no_link(spark):
+    """One bucket, whose centre (the smallest id) links with nothing; a and b link."""
+    text = lambda seed, *parts: " ".join(f"{seed}w{k}" for p in parts for k in p)
+    for seed in range(100):
+        hub, a, b = (text(seed, range(80), *x) for x in ([range(200, 260)], [range(300, 360)], [range(300, 352), range(400, 408)]))
+        if len({int(signature(shingles(t, 5), 1)[0]) for t in (hub, a, b)}) == 1:
+            break
+    own, alone = [(1, hub), (50, a), (51, b)], text("x", range(60))
+    sets = {k: set(shingles(t, 5).tolist()) for k, t in own}
+    want = brute(sets, 80)
+    assert want == {1: 1, 50: 50, 51: 50}
+    dedup = lambda rows: minhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, bands=1, rows=1).collect()
+    for more in ([], [(50, a)], [(50, a), (51, b), (51, b)]):
+        got = dedup(own + more)
+        assert len(got) == len(own + more) and all(r.component_id == want[r.doc_id] and r.kept == (want[r.doc_id] == r.doc_id) for r in got)
+    got = dedup([*own, (51, alone)])
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id == 51) == [(56, 51, True), (len(sets[51]), 50, False)]
+    got = dedup([*own, (50, alone), (51, alone)])
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, len(sets[1]), 1), (50, len(sets[50]), 50), (51, len(sets[51]), 50), (50, 56, 50), (51, 56, 50)}
+
+
 def test_dedup_on_awkward_rows(spark):
     docs = awkward(spark)
     got = minhash_dedup(spark, docs)
