@@ -35,6 +35,8 @@ from sigloom.llm.merges import Merges
 from sigloom.llm.units import UnitEncoder
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+#: Letters between two looks at the size of the compiled tables.
+SLICE = 1 << 15
 #: Endings of the contractions that the pre-tokenizer cuts off after a word, by their first letter.
 CONTRACTIONS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
 
@@ -101,7 +103,12 @@ class PieceTransducer:
 
 
 class Transducer:
-    """Counts the tokens of texts: pieces, and where they end.  States are tuples (what is open, ...)."""
+    """Counts the tokens of texts: pieces, and where they end.
+
+    States are tuples (what is open, piece state, sign held).  Inside, piece
+    states are numbers, which hold until the tables start anew; what ``feed``
+    returns and ``final`` takes has their content instead, so it can be kept.
+    """
 
     START = ("start", 0, "")
 
@@ -118,15 +125,31 @@ class Transducer:
 
     def feed(self, state: tuple, text: str) -> tuple[tuple, int]:
         """The state after ``text``, and the tokens that became certain."""
+        state, total = self._numbered(state), 0
+        for k in range(0, len(text), SLICE):
+            state, count = self._feed(state, text[k : k + SLICE])
+            total += count
+        what, at, held = state
+        return (what, self.piece.states[at] if at else 0, held), total
+
+    def _numbered(self, state: tuple) -> tuple:
+        """A state of ``feed`` by its number in the present tables; the piece's first state is 0 in all."""
+        what, key, held = state
+        return (what, self._piece_id(key), held) if key else state
+
+    def _piece_id(self, key: tuple) -> int:
+        at = self.piece.ids.setdefault(key, len(self.piece.states))
+        if at == len(self.piece.states):
+            self.piece.states.append(key)
+            self.piece.moves.append({})
+        return at
+
+    def _feed(self, state: tuple, text: str) -> tuple[tuple, int]:
         if len(self.states) + len(self.piece.states) > PieceTransducer.LIMIT:
             # Piece states are numbered anew, so the open piece's is carried over by its key.
             key = self.piece.states[state[1]]
             self._clear()
-            at = self.piece.ids.setdefault(key, len(self.piece.states))
-            if at == len(self.piece.states):
-                self.piece.states.append(key)
-                self.piece.moves.append({})
-            state = (state[0], at, state[2])
+            state = (state[0], self._piece_id(key), state[2])
         s, total, moves = self._id(state), 0, self.moves
         for letter in text:
             got = moves[s].get(letter)
@@ -199,6 +222,9 @@ class Transducer:
 
     def final(self, state: tuple) -> int:
         """The tokens still to come if the text ends here."""
+        return self._final(self._numbered(state))
+
+    def _final(self, state: tuple) -> int:
         what, at, held = state
         if what == "start":
             return 0
@@ -207,8 +233,11 @@ class Transducer:
         return self.piece.final(at) + (self._whole(held) if held else 0)
 
     def count(self, text: str) -> int:
-        state, total = self.feed(self.START, text)
-        return total + self.final(state)
+        if len(text) > SLICE:
+            state, total = self.feed(self.START, text)
+            return total + self.final(state)
+        state, total = self._feed(self.START, text)
+        return total + self._final(state)
 
 
 class ChunkMap(NamedTuple):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sigloom.llm import quality_classifier as qc
 from sigloom.llm import quality_rules as qr
+from sigloom.llm import token_counts as token_counts_module
 from sigloom.llm.byte_bpe import BacktrackingBpe, read_ranks, round_trip
 from sigloom.llm.components import components, roots
 from sigloom.llm.embedding_dedup import embedding_dedup
@@ -80,6 +81,20 @@ def test_transducer_counts_equal_the_library_in_any_chunks():
         assert TokenCounter(BYTE_BPE, chunk).count_many(odd_texts()) == want
 
 
+def test_counts_hold_when_tables_start_anew_within_a_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts_module.PieceTransducer, "LIMIT", 40)
+    lib, rng = Tokenizer.from_file(BYTE_BPE), random.Random(2)
+    long = ["".join(rng.choice("abcdefghij日本語漢字0123+/=") for _ in range(600)), " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(5, 40))) for _ in range(60))]
+    texts = [*odd_texts()[:300], *long]
+    want = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    for piece in (11, 1 << 15):
+        monkeypatch.setattr(token_counts_module, "SLICE", piece, raising=False)
+        for chunk in (7, 64):
+            assert TokenCounter(BYTE_BPE, chunk).count_many(texts) == want
+
+
 def test_chunk_maps_are_associative():
     assert prefix_scan(list("abcdefg"), lambda a, b: a + b) == ["abcdefg"[: k + 1] for k in range(7)]
     counter = TokenCounter(BYTE_BPE)
