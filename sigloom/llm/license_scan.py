@@ -2,7 +2,10 @@
 
 Statements (header lines that name a licence, and whole files called LICENSE or
 the like) become sparse TF-IDF vectors; the cosine to each template is a join
-on tokens.  The best template above a threshold is the file's own licence.  A
+on tokens.  Besides, an SPDX identifier, or the passages that a standard header
+block or licence text is known by, state their licence with similarity 1; they
+are looked for in the whole text, wherever lines break and whatever comment
+signs stand between.  The best of all above a threshold is the file's own licence.  A
 directory's licence is that of its licence file.  A file without one of its own
 takes that of its nearest ancestor directory: the distinct directories are
 exploded into their ancestors and joined with the licensed ones by path.
@@ -42,6 +45,38 @@ TEMPLATES = (
     ("MPL-2.0", "subject to the terms of the mozilla public license version 2.0"),
     ("Unlicense", "released into the public domain under the unlicense"),
 )
+#: Passages of standard header blocks and licence texts: licence, a passage it has, one that it must not have (or none).
+PASSAGES = (
+    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007", ""),
+    ("AGPL-3.0", "gnu affero general public license as published by the free software foundation either version 3", ""),
+    ("AGPL-3.0", "gnu affero general public license version 3 as published by", ""),
+    ("Apache-2.0", "apache license version 2 0 january 2004", ""),
+    ("Apache-2.0", "licensed under the apache license version 2 0 the license", ""),
+    ("BSD-2-Clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "be used to endorse or promote products derived from"),
+    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission", "all advertising materials mentioning features"),
+    ("CC-BY-4.0", "creative commons attribution 4 0 international", ""),
+    ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4 0 international", ""),
+    ("CC-BY-SA-4.0", "creative commons attribution sharealike 4 0 international", ""),
+    ("CC0-1.0", "cc0 1 0 universal", ""),
+    ("GPL-2.0", "gnu general public license version 2 june 1991", ""),
+    ("GPL-2.0", "gnu general public license as published by the free software foundation either version 2", ""),
+    ("GPL-2.0", "gnu general public license version 2 as published by", ""),
+    ("GPL-2.0", "gnu general public license as published by the free software foundation version 2", ""),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007", ""),
+    ("GPL-3.0", "gnu general public license as published by the free software foundation either version 3", ""),
+    ("GPL-3.0", "gnu general public license version 3 as published by", ""),
+    ("GPL-3.0", "gnu general public license as published by the free software foundation version 3", ""),
+    ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", ""),
+    ("ISC", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", ""),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007", ""),
+    ("LGPL-3.0", "gnu lesser general public license as published by the free software foundation either version 3", ""),
+    ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ""),
+    ("MPL-2.0", "mozilla public license version 2 0 1 definitions", ""),
+    ("MPL-2.0", "subject to the terms of the mozilla public license v 2 0", ""),
+    ("Unlicense", "this is free and unencumbered software released into the public domain", ""),
+)
+#: An SPDX tag; of an expression the first identifier counts.  ``-only``, ``-or-later`` and ``+`` don't tell licences apart.
+SPDX, SPDX_END = r"(?i)spdx-license-identifier:[\s(]*([a-z0-9.+-]+)", r"(-only|-or-later|\+)$"
 #: A token: a run of letters and digits, with dots, pluses and hyphens inside.
 TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
@@ -64,6 +99,19 @@ def _weights(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return idf, weight.join(length, "license").select("license", "token", (F.col("w") / F.col("length")).alias("w"))
 
 
+def _passage(words: str) -> str:
+    """A pattern of the words with anything but letters and digits between them."""
+    return r"(?i)\b" + "[^a-z0-9]+".join(words.split()) + r"\b"
+
+
+def _standard(text: Column) -> Column:
+    """The licences whose SPDX identifier or passages are in a text."""
+    found = [F.when(text.rlike(_passage(has)) & ~text.rlike(_passage(lacks)) if lacks else text.rlike(_passage(has)), F.lit(name)) for name, has, lacks in PASSAGES]
+    named = F.create_map(*(F.lit(x) for name, _ in TEMPLATES for x in (name.lower(), name)))
+    tags = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda x: named[F.regexp_replace(F.lower(x), SPDX_END, "")])
+    return F.array_compact(F.array_distinct(F.concat(F.array(*found), tags)))
+
+
 def own_licenses(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """path, license and similarity of files (path, text) that state one; equal cosines go to the first name."""
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(ANCHOR))
@@ -76,7 +124,8 @@ def own_licenses(spark: SparkSession, files: DataFrame, threshold: float = THRES
     length = mine.groupBy("path", "place").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     dots = mine.join(F.broadcast(weights), "token").groupBy("path", "place", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     cosine = dots.join(length, ["path", "place"]).select("path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
-    best = cosine.where(F.col("similarity") >= threshold).groupBy("path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
+    known = files.where(F.col("text").rlike(ANCHOR)).select("path", F.explode(_standard(F.col("text"))).alias("license"), F.lit(1.0).alias("similarity"))
+    best = cosine.unionByName(known).where(F.col("similarity") >= threshold).groupBy("path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
     return best.select("path", "b.license", (-F.col("b.s")).alias("similarity"))
 
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -407,3 +408,49 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert (got["a/b/z.py"].license, got["a/b/z.py"].inherited_from) == ("Apache-2.0", None)
     assert got["q/w.py"].effective_license is None and got["top.py"].effective_license is None
     assert license_scan(spark, spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_real_headers_and_licence_files_state_their_licence(spark):
+    mit = """Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    bsd2 = """Copyright (c) 2020, A. Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+    bsd3 = bsd2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    isc = """Copyright (c) 2020, A. Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+    gpl = """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version."""
+    want = {
+        "a/LICENSE": (mit, "MIT"), "b/LICENSE": (bsd2, "BSD-2-Clause"), "c/LICENSE.txt": (bsd3, "BSD-3-Clause"), "d/COPYING": (isc, "ISC"), "e.c": (gpl, "GPL-3.0"), "f.c": (gpl.replace("General", "Lesser General"), "LGPL-3.0"),
+        "g.py": ("# SPDX-License-Identifier: MIT\ncode", "MIT"), "h.py": ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), "i.py": ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"), "j.py": ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+        "k.py": ("# SPDX-License-Identifier: Proprietary-1", None), "l.py": ("Copyright 2020 A. Body. All rights reserved.", None),
+    }
+    whole = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, license in whole.items():
+        if (path := Path("/usr/share/common-licenses") / name).exists():
+            want[f"{name}/LICENSE"] = (path.read_text(), license)
+    got = {r.path: r.license for r in license_scan(spark, spark.createDataFrame([(k, t) for k, (t, _) in want.items()], "path string, text string")).collect()}
+    assert got == {k: license for k, (_, license) in want.items()}
