@@ -267,11 +267,17 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, but one document of each group of near-duplicates: that of the smallest id.
 
-    Of rows repeated with one doc_id the first by text stays.  Rows without an id stay.
+    Rows are judged by id and text: of texts that share a doc_id only
+    near-duplicates go.  Of a row that is repeated with its text one stays.
+    Rows without an id stay.
     """
-    gone = minhash_dedup(spark, docs.select("doc_id", "text"), width, percent).where("NOT kept").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    # The join has brought equal ids together already.
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = known.select(F.struct(*(F.col(f"`{c}`") for c in known.columns)).alias("row"), "doc_id", place.alias("place")).where("place = 1").select("row.*")
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    told = grouped(spark, docs.select("doc_id", "text"), width, percent).where("doc_id IS NOT NULL").select("doc_id", "text_key", "node", "kept").distinct()
+    once = told.where("kept AND node IS NOT NULL").groupBy("doc_id", "node").agg(F.min("text_key").alias("one"))
+    again = told.join(once, ["doc_id", "node"]).where("kept AND text_key <> one")
+    gone = told.where("NOT kept").select("doc_id", "text_key").unionByName(again.select("doc_id", "text_key"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct(*names).alias("row"), F.col("doc_id").alias("id"), text_key())
+    known = rows.join(gone.withColumnRenamed("doc_id", "id"), ["id", "text_key"], "left_anti")
+    # The join has brought equal rows together already.
+    place = F.row_number().over(Window.partitionBy("id", "text_key").orderBy("row.text"))
+    return known.withColumn("place", place).where("place = 1").select("row.*").unionByName(docs.where("doc_id IS NULL"))

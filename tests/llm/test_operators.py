@@ -355,6 +355,13 @@ def test_repeated_rows_and_clashing_ids_lose_no_link(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, len(sets[1]), 1), (50, len(sets[50]), 50), (51, len(sets[51]), 50), (50, 56, 50), (51, 56, 50)}
 
 
+def test_only_near_duplicates_of_a_clashing_id_go(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(1, text("a")), (2, text("a") + " more"), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("d")), (4, text("e")), (4, text("e") + " more"), (5, None), (5, None)]
+    got = keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, (r.text or "-")[0]) for r in got) == [(1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e"), (5, "-")]
+
+
 def test_dedup_on_awkward_rows(spark):
     docs = awkward(spark)
     got = minhash_dedup(spark, docs)
