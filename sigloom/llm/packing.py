@@ -127,17 +127,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, tiers: int = 4, st
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype)
         packer = TierPacker(window, tiers, step_tokens, TaskContext.get().partitionId() << 40)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                for doc_id, own in zip(ids.slice(at, 256).to_pylist(), enc.encode_many(texts.slice(at, 256).to_pylist()), strict=True):
+        try:
+            for batch in batches:
+                for doc_id, own in zip(batch.column(0).to_pylist(), enc.encoded(batch.column(1)), strict=True):
                     packer.add(doc_id, np.concatenate([own, end]))
-                if len(packer.rows) >= 4096:
-                    yield packer.take()
-        packer.finish()
-        yield packer.take()
-        if not keep_caches:
-            del enc
-            release()
+                    if len(packer.rows) >= 4096:
+                        yield packer.take()
+            packer.finish()
+            yield packer.take()
+        finally:
+            if not keep_caches:
+                del enc
+                release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
