@@ -1,277 +1,126 @@
 """Token counts by a compiled transducer.
 
-A byte-level BPE tokenizer is compiled, as far as the texts need it, into a
-deterministic transducer whose transitions carry the number of tokens that are
-certain by then.
-
-* Within a piece, a state holds the last token of the encoding of every place
+A byte-level BPE tokenizer is compiled into two deterministic transducers.
+
+* The outer one (``pieces``) runs over classes of letters and marks where the
+  pre-tokenizer cuts.  It is small, so a chunk of text is held as a map from
+  every state to the state after it; these maps compose associatively, and a
+  parallel prefix scan over the chunks of a slice gives each chunk's first
+  state, from which all chunks run side by side.
+* The inner one runs over the bytes of a piece and is compiled as far as the
+  texts need it.  A state holds the last token of the encoding of every place
   from which a vocabulary token may still be under way, with the trie node
   reached since and the count so far.  Exactly one last token belongs to each
   place (see ``merges``), so the states are a deterministic, finite set: a
-  token is at most so long.  Counts are kept relative, the common part is
-  emitted on the transition.
-* Around that, a small automaton over letters, numbers, white space, other
-  signs and contractions closes pieces where the pre-tokenizer does.
+  token is at most so long.  Counts are kept relative; the common part is
+  emitted on the transition, which thus carries the number of tokens that are
+  certain by then.
 
-A long text is cut into chunks anywhere.  A chunk's state map is held as its
-head (whose effect depends on the state before it), the count of everything
-between its first and last certain cut, and the state after its tail; such maps
-compose associatively, and a prefix scan over them gives the counts.
+What runs in parallel: the chunks of a slice, as lanes of one task, and the
+texts, over tasks.  Equal pieces are counted once a slice; a text's count is a
+difference of prefix sums.  A single piece, however long, is run byte by byte.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from sigloom.llm.library_bpe import byte_letters
+from sigloom.llm.library_bpe import byte_letters, checked
 from sigloom.llm.merges import Merges
-from sigloom.llm.units import UnitEncoder
+from sigloom.llm.pieces import PieceStore, encoded
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: Letters between two looks at the size of the compiled tables.
-SLICE = 1 << 15
-#: Endings of the contractions that the pre-tokenizer cuts off after a word, by their first letter.
-CONTRACTIONS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
+_NODE, _LAST, _COUNT = 16, 40, 0xFFFF
 
 
 class PieceTransducer:
-    """Counts the tokens of one piece byte by byte."""
+    """Counts the tokens of one piece byte by byte.
+
+    A state is a tuple of numbers, one for each place that is still of account:
+    last token + 1, trie node and relative count side by side; the place just
+    reached comes last.  ``moves`` maps ``state << 8 | byte`` to
+    ``next << 16 | tokens that are certain``.
+    """
 
-    #: Compiled states before the tables start anew.
-    LIMIT = 250_000
+    #: Compiled states before the tables start anew, and bytes between two looks at their number.
+    LIMIT, SLICE = 400_000, 1 << 14
 
     def __init__(self, tokens: list[bytes], merges: Merges) -> None:
         """``tokens`` in merge order; see ``merges``."""
-        self.compatible = merges.compatible
-        self.next: list[dict[int, int]] = [{}]
-        self.ends: list[int | None] = [None]
+        self.compatible, self.child, self.ends = merges.compatible, {}, [-1]
         for k, token in enumerate(tokens):
             node = 0
             for byte in token:
-                if byte not in self.next[node]:
-                    self.next[node][byte] = len(self.next)
-                    self.next.append({})
-                    self.ends.append(None)
-                node = self.next[node][byte]
+                at = node << 8 | byte
+                if at not in self.child:
+                    self.child[at] = len(self.ends)
+                    self.ends.append(-1)
+                node = self.child[at]
             self.ends[node] = k
         self.reset()
 
     def reset(self) -> None:
-        start = ((-1, 0, 0),)  # last token (none), trie node, count above the common one
-        self.ids, self.states, self.moves = {start: 0}, [start], [{}]
+        start = (0,)  # no last token, the trie's root, nothing counted
+        self.ids, self.states, self.moves = {start: 0}, [start], {}
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state, and how many tokens are certain on the way."""
-        got = self.moves[state].get(byte)
-        if got is None:
-            got = self.moves[state][byte] = self._compile(state, byte)
-        return got
+    def _id(self, key: tuple) -> int:
+        at = self.ids.setdefault(key, len(self.states))
+        if at == len(self.states):
+            self.states.append(key)
+        return at
 
-    def _compile(self, state: int, byte: int) -> tuple[int, int]:
-        live, ended = [], None
-        for last, node, count in self.states[state]:
-            node = self.next[node].get(byte)
+    def _compile(self, state: int, byte: int) -> int:
+        child, ends, live, ended = self.child.get, self.ends, [], -1
+        for entry in self.states[state]:
+            node = child((entry >> _NODE & 0xFFFFFF) << 8 | byte)
             if node is None:
                 continue
-            live.append((last, node, count))
-            token = self.ends[node]
-            if token is not None and (last < 0 or self.compatible(last, token)):
-                if ended is not None:
+            last, count = (entry >> _LAST) - 1, entry & _COUNT
+            live.append(last + 1 << _LAST | node << _NODE | count)
+            token = ends[node]
+            if token >= 0 and (last < 0 or self.compatible(last, token)):
+                if ended >= 0:
                     raise ValueError("two encodings of one text: the merges are out of order")
-                ended = (token, 0, count + 1)
-        if ended is None:
+                ended = token + 1 << _LAST | count + 1
+        if ended < 0:
             raise ValueError("a byte is missing in the vocabulary")
         live.append(ended)
-        least = min(x[2] for x in live)
-        key = tuple((a, b, c - least) for a, b, c in live)
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-        return self.ids[key], least
-
-    def final(self, state: int) -> int:
-        """The tokens of the piece beyond those already counted."""
-        return next(c for _, node, c in self.states[state] if node == 0)
-
-
-class Transducer:
-    """Counts the tokens of texts: pieces, and where they end.
-
-    States are tuples (what is open, piece state, sign held).  Inside, piece
-    states are numbers, which hold until the tables start anew; what ``feed``
-    returns and ``final`` takes has their content instead, so it can be kept.
-    """
-
-    START = ("start", 0, "")
-
-    def __init__(self, piece: PieceTransducer) -> None:
-        import regex
-
-        self.piece = piece
-        self._kind = regex.compile(r"(?P<L>\p{L})|(?P<N>\p{N})|(?P<S>\s)|(?P<O>.)", regex.S).match
-        self._clear()
-
-    def _clear(self) -> None:
-        self.piece.reset()
-        self.ids, self.states, self.moves = {self.START: 0}, [self.START], [{}]
-
-    def feed(self, state: tuple, text: str) -> tuple[tuple, int]:
-        """The state after ``text``, and the tokens that became certain."""
-        state, total = self._numbered(state), 0
-        for k in range(0, len(text), SLICE):
-            state, count = self._feed(state, text[k : k + SLICE])
-            total += count
-        what, at, held = state
-        return (what, self.piece.states[at] if at else 0, held), total
-
-    def _numbered(self, state: tuple) -> tuple:
-        """A state of ``feed`` by its number in the present tables; the piece's first state is 0 in all."""
-        what, key, held = state
-        return (what, self._piece_id(key), held) if key else state
-
-    def _piece_id(self, key: tuple) -> int:
-        at = self.piece.ids.setdefault(key, len(self.piece.states))
-        if at == len(self.piece.states):
-            self.piece.states.append(key)
-            self.piece.moves.append({})
-        return at
-
-    def _feed(self, state: tuple, text: str) -> tuple[tuple, int]:
-        if len(self.states) + len(self.piece.states) > PieceTransducer.LIMIT:
-            # Piece states are numbered anew, so the open piece's is carried over by its key.
-            key = self.piece.states[state[1]]
-            self._clear()
-            state = (state[0], self._piece_id(key), state[2])
-        s, total, moves = self._id(state), 0, self.moves
-        for letter in text:
-            got = moves[s].get(letter)
-            if got is None:
-                after, count = self._move(self.states[s], letter)
-                got = moves[s][letter] = (self._id(after), count)
-            s = got[0]
-            total += got[1]
-        return self.states[s], total
-
-    def _id(self, state: tuple) -> int:
-        if state not in self.ids:
-            self.ids[state] = len(self.states)
-            self.states.append(state)
-            self.moves.append({})
-        return self.ids[state]
-
-    def _run(self, at: int, text: str) -> tuple[int, int]:
-        total = 0
-        for byte in text.encode("utf-8"):
-            at, count = self.piece.step(at, byte)
-            total += count
-        return at, total
-
-    def _whole(self, text: str, at: int = 0) -> int:
-        """All tokens of a piece that ends after ``text``, beyond those counted up to ``at``."""
-        at, total = self._run(at, text)
-        return total + self.piece.final(at)
-
-    def _open(self, letter: str) -> tuple[tuple, int]:
-        kind = self._kind(letter).lastgroup
-        if kind == "S":
-            return ("S", 0, letter), 0
-        at, total = self._run(0, letter)
-        return ("'" if letter == "'" else kind, at, ""), total
-
-    def _move(self, state: tuple, letter: str) -> tuple[tuple, int]:
-        what, at, held = state
-        kind = self._kind(letter).lastgroup
-        if what == "start":
-            return self._open(letter)
-        if what == "S":  # held: the last sign of the run, which may belong to what follows
-            if kind == "S":
-                at, total = self._run(at, held)
-                return ("S", at, letter), total
-            total = self.piece.final(at) if at else 0
-            if held == " ":
-                at, count = self._run(0, held + letter)
-                return (kind, at, ""), total + count
-            after, count = self._open(letter)
-            return after, total + self._whole(held) + count
-        if what == "'" and held == "":
-            if letter in CONTRACTIONS:
-                if not CONTRACTIONS[letter]:
-                    return self.START, self._whole(letter, at)
-                return ("'", at, letter), 0
-            what = "O"
-        elif what == "'":  # held: the first letter of a longer contraction
-            if letter == CONTRACTIONS[held]:
-                return self.START, self._whole(held + letter, at)
-            total = self.piece.final(at)
-            at, count = self._run(0, held)
-            after, more = self._move(("L", at, ""), letter)
-            return after, total + count + more
-        if kind == what:
-            at, total = self._run(at, letter)
-            return (what, at, ""), total
-        after, count = self._open(letter)
-        return after, self.piece.final(at) + count
-
-    def final(self, state: tuple) -> int:
-        """The tokens still to come if the text ends here."""
-        return self._final(self._numbered(state))
-
-    def _final(self, state: tuple) -> int:
-        what, at, held = state
-        if what == "start":
-            return 0
-        if what == "S":
-            return self._whole(held, at)
-        return self.piece.final(at) + (self._whole(held) if held else 0)
-
-    def count(self, text: str) -> int:
-        if len(text) > SLICE:
-            state, total = self.feed(self.START, text)
-            return total + self.final(state)
-        state, total = self._feed(self.START, text)
-        return total + self._final(state)
-
-
-class ChunkMap(NamedTuple):
-    """What a chunk does to a state; ``after`` is None where it holds no certain cut and the state before it shows through."""
-
-    head: str
-    count: int
-    after: tuple | None
-
-
-def compose(transducer: Transducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-    """The map of two chunks in a row; associative."""
-    if a.after is None:
-        return ChunkMap(a.head + b.head, b.count, b.after)
-    state, count = transducer.feed(a.after, b.head)
-    if b.after is None:
-        return ChunkMap(a.head, a.count + count, state)
-    return ChunkMap(a.head, a.count + count + transducer.final(state) + b.count, b.after)
-
+        least = min([x & _COUNT for x in live])
+        after = self._id(tuple([x - least for x in live]))
+        self.moves[state << 8 | byte] = got = after << 16 | least
+        return got
 
-def prefix_scan(items: Sequence, join: Callable) -> list:
-    """All prefixes of an associative join, in about 2 log n rounds of independent joins."""
-    if len(items) < 2:
-        return list(items)
-    pairs = prefix_scan([join(a, b) for a, b in zip(items[::2], items[1::2], strict=False)], join)
-    return [items[0], *(pairs[k // 2] if k % 2 else join(pairs[k // 2 - 1], items[k]) for k in range(1, len(items)))]
+    def count(self, piece: bytes) -> int:
+        """The tokens of a piece.  The tables may start anew within it: the open state is then carried over by its content."""
+        state, total = 0, 0
+        for at in range(0, len(piece), self.SLICE):
+            if len(self.states) > self.LIMIT:
+                key = self.states[state]
+                self.reset()
+                state = self._id(key)
+            move = self.moves.get
+            for byte in piece[at : at + self.SLICE]:
+                got = move(state << 8 | byte)
+                if got is None:
+                    got = self._compile(state, byte)
+                state = got >> 16
+                total += got & _COUNT
+        return total + (self.states[state][-1] & _COUNT)
 
 
 class Counter:
     """Counts for whole texts by one compiled tokenizer."""
 
-    def __init__(self, path: str, chunk: int = 1 << 15) -> None:
+    def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
-            tokenizer = json.load(f)
+            tokenizer = checked(json.load(f))
         model, unspell = tokenizer["model"], {chr(v): k for k, v in byte_letters().items()}
         ids = {chr(v): k for k, v in byte_letters().items()}
         tokens, pair, halves = [bytes([k]) for k in range(256)], {}, {}
@@ -282,62 +131,22 @@ class Counter:
             ids[a + b] = len(tokens)
             tokens.append(bytes(unspell[x] for x in a + b))
         self.special = [x["content"] for x in tokenizer["added_tokens"]]
-        self.transducer = Transducer(PieceTransducer(tokens, Merges(pair, halves)))
-        self.chunk = chunk
-        self._units = UnitEncoder(lambda parts: [self._code(self.transducer.count(p)) for p in parts], lambda text: self._code(self.transducer.count(text)), limit=250_000)
+        self.transducer = PieceTransducer(tokens, Merges(pair, halves))
+        self._store = PieceStore(self._learn, np.int32)
 
-    @staticmethod
-    def _code(count: int) -> bytes:
-        """Bytes that add up to ``count``: codes of units are joined, then summed."""
-        return b"\xff" * (count // 255) + bytes([count % 255])
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(map(self.transducer.count, pieces), np.int64, len(pieces)), np.ones(len(pieces), np.int64)
 
-    def _split(self, text: str) -> list[tuple[str, str, str]]:
-        """Chunks as (head, what lies between certain cuts, tail); a certain cut is a blank or line end after a letter or sign."""
-        out = []
-        for at in range(0, len(text), self.chunk):
-            part = text[at : at + self.chunk]
-            first = next((k for k in range(1, len(part)) if part[k] in " \n" and not part[k - 1].isspace()), None)
-            if first is None:
-                out.append((part, "", ""))
-                continue
-            last = next(k for k in range(len(part) - 1, 0, -1) if part[k] in " \n" and not part[k - 1].isspace())
-            out.append((part[:first], part[first:last], part[last:]))
-        return out
+    def _with_special(self, text: str) -> np.ndarray:
+        """Strings of special tokens are one token each; what lies between them is counted by itself."""
+        parts = [text]
+        for special in self.special:
+            parts = [y for x in parts for y in x.split(special)]
+        return np.append(self.count_many(pa.array(parts)), len(parts) - 1)
 
-    def count_many(self, texts: Sequence[str | None]) -> list[int]:
-        """Counts of whole texts; strings of special tokens in a text are one token each."""
-        jobs, bodies = [], []
-        for text in texts:
-            parts, extra = [text or ""], 0
-            for special in self.special:
-                parts = [y for x in parts for y in x.split(special)]
-            extra = sum(text.count(s) for s in self.special) if text and len(parts) > 1 else 0
-            chunked = []
-            for part in parts:
-                if len(part) <= self.chunk:
-                    bodies.append(part)
-                    chunked.append((None, len(bodies) - 1))
-                else:
-                    split = self._split(part)
-                    chunked.append((split, len(bodies)))
-                    bodies.extend(x[1] for x in split)
-            jobs.append((chunked, extra))
-        counts = [sum(x) for x in self._units.encode_many(bodies)]
-        t, out = self.transducer, []
-        for chunked, total in jobs:
-            for split, k in chunked:
-                if split is None:
-                    total += counts[k]
-                    continue
-                maps = []
-                for j, (head, _, tail) in enumerate(split):
-                    state, count = t.feed(t.START, tail) if tail else (None, 0)
-                    maps.append(ChunkMap(head, counts[k + j] + count, state))
-                *_, last = prefix_scan(maps, lambda a, b: compose(t, a, b))
-                state, count = t.feed(t.START, last.head)
-                total += count + t.final(state) + (0 if last.after is None else last.count + t.final(last.after))
-            out.append(total)
-        return out
+    def count_many(self, texts: pa.Array) -> np.ndarray:
+        """Counts of whole texts; 0 for null."""
+        return np.fromiter((x.sum() for x in encoded(texts, self._store, self._with_special, self.special)), np.int64, len(texts))
 
 
 @lru_cache(maxsize=2)
@@ -350,18 +159,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     A narrow pass without a shuffle.  A null text is empty (0 bytes, 0 tokens);
     repeated rows are repeated; other columns are ignored; no rows give none.
-    Tables and caches are bounded, whatever the input.
+    Tables and caches are bounded, whatever the input; a slice of texts is
+    bounded by its bytes, so a very long text is treated by itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(k, 256).to_pylist()
-                counts = np.array(own.count_many(texts), np.int64)
-                yield pa.record_batch(
-                    [batch.column(0).slice(k, 256).cast(pa.int64()), pa.array([len(x.encode()) if x else 0 for x in texts], pa.int64()), pa.array(counts), pa.array(counts > limit)],
-                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
+            counts = own.count_many(batch.column(1))
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), sizes, pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
