@@ -5,7 +5,8 @@ Aho-Corasick automaton over the vocabulary finds every token that lies in the
 piece.  The encoder takes the longest token at each place that is compatible
 with the token before it (see ``merges``), takes shorter ones where the rest
 can't be reached, and remembers dead places, so each place is left at most
-once.  The result is that of the rank-ordered merges.
+once.  The result is that of the rank-ordered merges.  Pieces are cut by
+``pieces``; equal pieces are encoded once as long as they are remembered.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ import base64
 import hashlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sigloom.llm.merges import Merges
-from sigloom.llm.units import UnitEncoder
+from sigloom.llm.pieces import PATTERN, PieceStore, encoded
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -47,12 +49,12 @@ class BacktrackingBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import ahocorasick
-        import regex
 
+        if pattern != PATTERN:
+            raise ValueError("only the pattern that pieces stands for")
         self.ranks, self.text = ranks, {k: b for b, k in ranks.items()}
         halves: dict[int, tuple[int, int]] = {}
         self.merges = Merges(_Joined(ranks, self.text), halves)
-        self.cut = regex.compile(pattern).findall
         automaton = ahocorasick.Automaton()
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1 and not self._halve(token, rank, halves):
@@ -60,7 +62,7 @@ class BacktrackingBpe:
             automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         automaton.make_automaton()
         self.automaton = automaton
-        self._units = UnitEncoder(lambda parts: [self._ids(p) for p in parts], self._ids)
+        self._store = PieceStore(self._learn, np.dtype("<u4"))
 
     def _halve(self, token: bytes, rank: int, halves: dict[int, tuple[int, int]]) -> bool:
         """The last merge on the way to ``token``: its halves are reached themselves and nothing joins them earlier."""
@@ -109,12 +111,17 @@ class BacktrackingBpe:
                 tokens.pop()
         return tokens
 
-    def _ids(self, text: str) -> bytes:
-        encode = self.encode_piece
-        return np.array([i for p in self.cut(text) for i in encode(p.encode("utf-8"))], "<u4").tobytes()
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = list(map(self.encode_piece, pieces))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+    def encoded(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text of a column in order; none for null."""
+        return encoded(texts, self._store)
 
     def encode_many(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self._units.encode_many(texts)]
+        return list(self.encoded(pa.array(texts, pa.string())))
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.text.__getitem__, ids))
@@ -136,16 +143,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                ids = bpe.encode_many(batch.column(1).slice(k, 256).to_pylist())
-                yield pa.record_batch(
-                    [
-                        batch.column(0).slice(k, 256).cast(pa.int64()),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(bpe.decode(x.tolist())).hexdigest() for x in ids], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+            sizes, digests, decoded = [], [], []
+            for ids in bpe.encoded(batch.column(1)):
+                sizes.append(len(ids))
+                digests.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
+            yield pa.record_batch(
+                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
