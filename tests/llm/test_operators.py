@@ -10,12 +10,13 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sigloom.llm import quality_classifier as qc
 from sigloom.llm import quality_rules as qr
-from sigloom.llm import token_counts as token_counts_module
+from sigloom.llm import pieces
 from sigloom.llm.byte_bpe import BacktrackingBpe, read_ranks, round_trip
 from sigloom.llm.components import components, roots
 from sigloom.llm.embedding_dedup import embedding_dedup
@@ -27,8 +28,8 @@ from sigloom.llm.packing import pack
 from sigloom.llm.queries import BYTE_BPE, MULTI_RANKS, QUERIES
 from sigloom.llm.storage import Workspace
 from sigloom.llm.textstats import base_counts
-from sigloom.llm.token_counts import ChunkMap, Counter as TokenCounter, compose, prefix_scan, token_counts
-from sigloom.llm.token_records import frame, read, read_record, records, token_records, write
+from sigloom.llm.token_counts import Counter as TokenCounter, token_counts
+from sigloom.llm.token_records import Ranges, encode, frame, parsed, ranges, read, read_record, records, token_records, write
 
 PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names clash with those that operators use inside.
@@ -73,37 +74,77 @@ def test_library_encoder_equals_the_library():
         assert got.tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
-def test_transducer_counts_equal_the_library_in_any_chunks():
+def test_pieces_equal_the_pre_tokenizer_in_any_chunks(monkeypatch):
+    from tokenizers import pre_tokenizers
+
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    texts = [*odd_texts(), "", "\u0558\ua7ce letters of no version", "'re", "'r", "x'l", "''ll", " 's", "\n's", "\t\t'v 'd", " " * 700 + "x", "a" * 900 + "'", "\n" * 600]
+    for chunk in (1, 3, 7, 256):
+        monkeypatch.setattr(pieces, "CHUNK", chunk)
+        found = pieces.cut(pa.array(texts))
+        distinct = [x.decode() for x in found.distinct.to_pylist()]
+        for k, t in enumerate(texts):
+            got = [distinct[i] for i in found.which[found.bounds[k] : found.bounds[k + 1]]]
+            assert got == [t[a:b] for _, (a, b) in library(t)], (chunk, t)
+
+
+def test_every_code_point_has_the_library_class():
+    from tokenizers import pre_tokenizers
+
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    kinds, rng = pieces.classes(), random.Random(3)
+    for c in [*range(0x3000), *rng.sample(range(0xE000, 0x110000), 20_000)]:
+        kind = next((k for k, sign in ((pieces.L, "a"), (pieces.N, "1"), (pieces.O, "!")) if len(library(sign + chr(c))) == 1), pieces.S)
+        own = {pieces.B: pieces.S, pieces.Q: pieces.O}.get(kinds[c], pieces.L if kinds[c] <= pieces.LL else kinds[c])
+        assert own == kind, hex(c)
+
+
+def test_state_maps_compose_associatively():
+    maps = np.random.default_rng(1).integers(0, pieces.STATES, (37, pieces.STATES))
+    got, now = pieces.scan(maps), np.arange(pieces.STATES)
+    for row, own in zip(got, maps, strict=True):
+        now = own[now]
+        assert (row == now).all()
+    a, b, c = maps[:3]
+    assert (c[b[a]] == c[b][a]).all()
+
+
+def test_transducer_counts_equal_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(BYTE_BPE)
     want = [len(lib.encode(t, add_special_tokens=False).ids) for t in odd_texts()]
-    for chunk in (7, 1 << 15):
-        assert TokenCounter(BYTE_BPE, chunk).count_many(odd_texts()) == want
+    assert TokenCounter(BYTE_BPE).count_many(pa.array(odd_texts())).tolist() == want
+    monkeypatch.setattr(pieces, "SLICE", 50)
+    assert TokenCounter(BYTE_BPE).count_many(pa.array(odd_texts())).tolist() == want
 
 
-def test_counts_hold_when_tables_start_anew_within_a_text(monkeypatch):
+def test_counts_hold_when_tables_start_anew_within_a_piece(monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_counts_module.PieceTransducer, "LIMIT", 40)
     lib, rng = Tokenizer.from_file(BYTE_BPE), random.Random(2)
-    long = ["".join(rng.choice("abcdefghij日本語漢字0123+/=") for _ in range(600)), " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(5, 40))) for _ in range(60))]
+    long = ["".join(rng.choice("abcdefghij日本語漢字") for _ in range(3000)), "".join(rng.choice("abcdefgh") for _ in range(40_000)), " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(5, 40))) for _ in range(60))]
     texts = [*odd_texts()[:300], *long]
     want = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
-    for piece in (11, 1 << 15):
-        monkeypatch.setattr(token_counts_module, "SLICE", piece, raising=False)
-        for chunk in (7, 64):
-            assert TokenCounter(BYTE_BPE, chunk).count_many(texts) == want
+    for limit, size in ((40, 11), (40, 64), (1000, 1 << 14)):
+        counter = TokenCounter(BYTE_BPE)
+        counter.transducer.LIMIT, counter.transducer.SLICE = limit, size
+        assert counter.count_many(pa.array(texts)).tolist() == want
+
 
+def test_stores_forget_and_stay_right():
+    learned = []
 
-def test_chunk_maps_are_associative():
-    assert prefix_scan(list("abcdefg"), lambda a, b: a + b) == ["abcdefg"[: k + 1] for k in range(7)]
-    counter = TokenCounter(BYTE_BPE)
-    t = counter.transducer
-    maps = [ChunkMap("ab", 0, None), ChunkMap("cd", 3, t.feed(t.START, " then")[0]), ChunkMap("ce", 0, None), ChunkMap("x y", 2, t.feed(t.START, " it")[0])]
-    a, b, c, d = maps
-    left = compose(t, compose(t, compose(t, a, b), c), d)
-    assert left == compose(t, compose(t, a, b), compose(t, c, d)) == compose(t, a, compose(t, b, compose(t, c, d)))
+    def learn(new):
+        learned.append(len(new))
+        return np.frombuffer(b"".join(new), np.uint8), np.fromiter(map(len, new), np.int64, len(new))
+
+    rng, store = random.Random(1), pieces.PieceStore(learn, np.uint8, limit=20)
+    for _ in range(300):
+        own = list({("%d" % rng.randint(0, 60)).encode() * rng.choice([1, 1, 40]) for _ in range(rng.randint(0, 30))})
+        codes, first, lengths = store.look(pa.array(own, pa.binary()))
+        assert [codes[a : a + n].tobytes() for a, n in zip(first, lengths, strict=True)] == own
+    assert len(store._known) <= 20 and sum(learned) > 100
 
 
 def test_backtracking_equals_tiktoken_and_decodes():
@@ -122,7 +163,17 @@ def test_token_tables_on_awkward_rows(spark):
     counts = token_counts(docs, BYTE_BPE).toPandas()
     trip = round_trip(docs, MULTI_RANKS, public_tokenizers.PATTERN).toPandas()
     assert len(counts) == len(trip) == docs.count()
-    assert (counts[counts.n_bytes == 0].n_tokens == 0).all()
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTE_BPE)
+    multi = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(MULTI_RANKS), special_tokens={})
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    told = [(k, len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for k, t in texts]
+    assert Counter((None if k != k else int(k), b, n) for k, b, n in zip(counts.doc_id, counts.n_bytes, counts.n_tokens, strict=True)) == Counter(told)
+    digest = lambda t: hashlib.sha256(np.array(multi.encode_ordinary(t), "<u4").tobytes()).hexdigest()
+    assert Counter(trip.ids_sha256) == Counter(digest(t) for _, t in texts)
+    assert (counts.over_limit == (counts.n_tokens > 512)).all()
     want = Counter(hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
     assert Counter(trip.decoded_sha256) == want
     assert token_counts(empty(spark), BYTE_BPE).count() == round_trip(empty(spark), MULTI_RANKS, public_tokenizers.PATTERN).count() == 0
@@ -130,28 +181,43 @@ def test_token_tables_on_awkward_rows(spark):
 
 def test_records_round_trip(spark, tmp_path):
     docs, enc = awkward(spark), LibraryEncoder(BYTE_BPE)
+    docs = docs.unionByName(docs.limit(1).selectExpr("-1L AS doc_id", "'minus one' AS text", *docs.columns[2:]))
     rows = token_records(spark, docs, BYTE_BPE).orderBy("start").collect()
-    ordered = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in docs.where("text IS NOT NULL OR doc_id IS NOT NULL").fillna({"text": ""}).collect())
-    assert len(rows) == docs.count() and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    place = lambda k: (k is not None, k or 0)
+    assert len(rows) == docs.count() and [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=place)
     at = 0
     for r in rows:
         assert r.start == at
         at += r.n_tokens
-    own = {(k, zlib.crc32(np.append(enc.encode(t), 0).astype("<u4"))) for k, t in ordered}
-    assert own <= {(r.doc_id, r.ids_crc32) for r in rows}
+    want = Counter((r.doc_id, zlib.crc32(np.append(enc.encode(r.text), 0).astype("<u4"))) for r in docs.collect())
+    assert Counter((r.doc_id, r.ids_crc32) for r in rows) == want and sum(r.doc_id is None for r in rows) == 2 and sum(r.doc_id == -1 for r in rows) == 1
     assert token_records(spark, empty(spark), BYTE_BPE).count() == 0
     # A single record by its row of the index; a damaged one is found out.
     folder = f"file://{tmp_path}/shards"
-    index = Workspace(spark, "t").cut(write(docs, folder, BYTE_BPE), "index")
+    into = ranges(docs, 4)
+    assert into.nulls == 1
+    index = Workspace(spark, "t").cut(write(encode(docs, BYTE_BPE, into), folder, into.count, 2), "index")
     one = index.where("doc_id = 8").first()
-    assert int.from_bytes(read_record(folder, one.shard, one.place, one["size"])[:8], "little") == 8
+    doc_id, ids = parsed(read_record(folder, one.shard, one.place, one["size"]))
+    assert doc_id == 8 and ids.tolist() == [*enc.encode(docs.where("doc_id = 8").first().text), 0]
     data = bytearray(frame(b"payload!" * 3))
     data[20] ^= 1
     with pytest.raises(ValueError):
         import io
 
         list(records(io.BytesIO(bytes(data))))
-    assert read(index, folder, BYTE_BPE).count() == docs.count()
+    back = read(index, folder, 3)
+    assert back.count() == docs.count() and back.rdd.getNumPartitions() == 3
+
+
+def test_shards_split_a_hot_id_in_order():
+    rng = np.random.default_rng(4)
+    into = Ranges(2, [5, 7, 7, 7, 9])
+    ids = [None] * 40 + [-(2**63)] + [3] * 9 + [5] * 9 + [6] * 9 + [7] * 90 + [8] * 9 + [9] * 9 + [2**63 - 1] * 9
+    places = into.places(pa.array(ids, pa.int64()), rng.integers(-(2**63), 2**63 - 1, len(ids)))
+    assert set(places[:40]) == {0, 1} and set(places[np.array([k == 7 for k in ids])]) == {3, 4, 5} and places.max() == into.count - 1
+    order = sorted(zip(places, [(k is not None, k or 0) for k in ids], strict=True))
+    assert [k for _, k in order] == sorted(k for _, k in order)
 
 
 def test_packing_covers_every_token_once(spark):
