@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import json
 import os
 from collections.abc import Iterator, Sequence
@@ -13,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 from sigloom.llm.pieces import PieceStore, encoded
+from sigloom.llm.storage import trim
 
 #: A letter outside every vocabulary, between the pieces handed over in one call, and a byte that no text in UTF-8 has.
 _BETWEEN, _FREE = 0xE000, 0xFF
@@ -105,15 +104,6 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def trim() -> None:
-    """Give freed memory of the Python worker back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries keep freed pages
-    if give:
-        give(0)
-
-
 def release() -> None:
     """Drop the worker's encoders too, for tasks of other stages that run in it later."""
     encoder.cache_clear()

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.components import components
-from sigloom.llm.storage import Workspace
+from sigloom.llm.storage import Workspace, trimmed
 
 #: Bands, and rows of a band.  With 32 of 5, a pair of similarity 0.8 shares no bucket with probability 3e-6, one of 0.85 with 7e-9.
 BANDS, ROWS = 32, 5
@@ -115,6 +115,7 @@ def text_key() -> Column:
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, a hash of the text, n_shingles, digest of the set (null if empty) and bucket keys of every document."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -145,6 +146,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     placed = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
     right = placed.join(texts, F.col("b") == F.col("doc_id")).select("a", "block", "b", "text")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
         for batch in batches:
@@ -167,6 +169,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
     """shingle and rep: a row for each shingle of each document."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):

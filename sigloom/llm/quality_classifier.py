@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.storage import Workspace
+from sigloom.llm.storage import Workspace, trimmed
 from sigloom.llm.textstats import BLANKS, SYMBOLS, n_dup_lines, repeated, word_ids, words
 
 #: Shrinkage towards the pooled covariance, and towards a scaled identity.
@@ -106,6 +106,7 @@ class Discriminant:
 def vectors(docs: DataFrame) -> DataFrame:
     """doc_id and the vector of every document; a narrow pass."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -120,6 +121,7 @@ def train(rows: DataFrame) -> Discriminant:
     size = len(STATISTICS)
     places = size * size + size + 1
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, places))
         for batch in batches:
@@ -162,6 +164,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame,
     known = Workspace(spark, "statistics").cut(vectors(docs), "x")
     sent = spark.sparkContext.broadcast(fit(known, labels, folds))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
@@ -177,6 +180,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: in
     sent = spark.sparkContext.broadcast(fit(vectors(docs), labels, folds))
     at = docs.columns.index("text")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

@@ -22,6 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm.storage import trimmed
 from sigloom.llm.textstats import base_counts
 
 #: Number of hash buckets, length of the n-grams, and the lowest score that is kept, in nats an n-gram.
@@ -48,6 +49,7 @@ def hashed(text: str | None, buckets: int = BUCKETS, n: int = NGRAM) -> np.ndarr
 def counts(texts: DataFrame, buckets: int = BUCKETS, ids: Broadcast | None = None) -> np.ndarray:
     """Occurrences of each bucket in the column ``text`` of all rows, or of those whose ``doc_id`` is in ``ids`` (ascending)."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
@@ -120,6 +122,7 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame | np.
     sent = spark.sparkContext.broadcast(log_ratio(_counted(trusted, buckets), counts(docs, buckets)))
     at = docs.columns.index("text")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -141,6 +144,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame | np.
     """
     sent = spark.sparkContext.broadcast(log_ratio(_counted(trusted, buckets), counts(docs, buckets)))  # ``buckets`` doubles
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

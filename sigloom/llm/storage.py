@@ -8,9 +8,14 @@ folder.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,3 +60,25 @@ class Workspace:
     def drop(self, name: str) -> None:
         fs, target = self._fs(f"{self.path}/{name}")
         fs.delete(target, True)
+
+
+def trim() -> None:
+    """Give freed memory of the Python worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries keep freed pages
+    if give:
+        give(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which a reused worker holds no memory of the task, however the task ends."""
+
+    @wraps(run)
+    def then_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return then_trim
