@@ -76,6 +76,8 @@ class LibraryEncoder:
             return ids, np.diff(ends, prepend=0)
 
         self._path, self._store, self._library = path, PieceStore(learn, dtype), None
+        del read
+        trim()
 
     def _whole(self, text: str) -> np.ndarray:
         """By the library alone: texts that hold special strings, which it takes out first."""

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 #: The pattern that the transducer below stands for; fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters of a chunk, those of its end that are tried from every state, and bytes of texts that are treated at once.
-CHUNK, TAIL, SLICE = 256, 6, 1 << 21
+CHUNK, TAIL, SLICE = 256, 6, 1 << 20
 
 # States: nothing open; a run of letters, numbers or other signs; one white space; several (the last a blank or not);
 # an apostrophe that may open a contraction, perhaps with its first letter.

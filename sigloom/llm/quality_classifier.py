@@ -176,8 +176,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame,
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``quality_classifier`` predicts 1; scored where they are read, without a join."""
-    sent = spark.sparkContext.broadcast(fit(vectors(docs), labels, folds))
+    """The rows of ``docs``, all columns, that ``quality_classifier`` predicts 1; scored where they are read, without a join.
+
+    Rows are scored one by one, so repeated rows, null ids and clashing names
+    stay as they are; null and empty texts are scored alike; no rows give none.
+    """
+    # A table between both Python steps, so a task never holds two workers.
+    sent = spark.sparkContext.broadcast(fit(Workspace(spark, "statistics").cut(vectors(docs), "x"), labels, folds))
     at = docs.columns.index("text")
 
     @trimmed

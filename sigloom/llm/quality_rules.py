@@ -118,7 +118,12 @@ def _counted(trusted: DataFrame | np.ndarray, buckets: int) -> np.ndarray:
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame | np.ndarray, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``quality_rules`` keeps; judged where they are read, without a join."""
+    """The rows of ``docs``, all columns, that ``quality_rules`` keeps; judged where they are read, without a join.
+
+    Rows are judged one by one, so repeated rows, null ids and clashing names
+    stay as they are; null and empty texts go; a score equal to the threshold
+    is kept; no rows give none.
+    """
     sent = spark.sparkContext.broadcast(log_ratio(_counted(trusted, buckets), counts(docs, buckets)))
     at = docs.columns.index("text")
 
@@ -138,7 +143,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, trusted: DataFrame | np.
     ``trusted`` is a table of texts (column ``text``) known to be good, or the
     counts of their ``buckets`` (see ``counts_by_id``).  A null
     or empty text has zero counts and fails the base rules; a text without an
-    n-gram scores 0; with no trusted texts at all every score is 0, so the base
+    n-gram scores 0; a score equal to the threshold is kept; with no trusted texts at all every score is 0, so the base
     rules alone decide.  Repeated rows are judged alike; other columns are
     ignored; no rows give none.
     """
