@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm.storage import Workspace
+
 #: Lowest cosine of a licence.
 THRESHOLD = 0.5
 #: A statement's line has one of these.
@@ -113,35 +115,46 @@ def _standard(text: Column) -> Column:
 
 
 def own_licenses(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """path, license and similarity of files (path, text) that state one; equal cosines go to the first name."""
+    """path, license and similarity of files (path, text) that state one; equal cosines go to the first name.
+
+    Texts are scanned once: lines that name a licence, and the licences known
+    by identifiers and passages, are written as a table of their own.
+    """
+    space = Workspace(spark, "licences")
+    named, anchored = F.col("path").rlike(LICENSE_FILE), F.col("text").rlike(ANCHOR)
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(ANCHOR))
-    named = F.when(F.col("path").rlike(LICENSE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
-    stated = files.where(F.col("text").rlike(ANCHOR) | F.col("path").rlike(LICENSE_FILE)).select("path", F.posexplode(F.concat(lines, named)).alias("place", "body"))
-    tf = stated.select("path", "place", F.explode(_tokens(F.col("body"))).alias("token")).groupBy("path", "place", "token").agg(F.count("*").alias("tf"))
+    bodies = F.concat(lines, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))
+    standard = F.when(anchored, _standard(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    stated = space.cut(files.where(anchored | named).select("path", bodies.alias("bodies"), standard.alias("standard")), "stated")
+    places = stated.select("path", F.posexplode("bodies").alias("place", "body"))
+    tf = space.cut(places.select("path", "place", F.explode(_tokens(F.col("body"))).alias("token")).groupBy("path", "place", "token").agg(F.count("*").alias("tf")), "tf")
     idf, weights = _weights(spark)
     unseen = F.log(F.lit(1.0 + len(TEMPLATES))) + 1
     mine = tf.join(F.broadcast(idf), "token", "left").select("path", "place", "token", (F.col("tf") * F.coalesce("idf", unseen)).alias("v"))
     length = mine.groupBy("path", "place").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     dots = mine.join(F.broadcast(weights), "token").groupBy("path", "place", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     cosine = dots.join(length, ["path", "place"]).select("path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
-    known = files.where(F.col("text").rlike(ANCHOR)).select("path", F.explode(_standard(F.col("text"))).alias("license"), F.lit(1.0).alias("similarity"))
+    known = stated.select("path", F.explode("standard").alias("license"), F.lit(1.0).alias("similarity"))
     best = cosine.unionByName(known).where(F.col("similarity") >= threshold).groupBy("path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
-    return best.select("path", "b.license", (-F.col("b.s")).alias("similarity"))
+    return space.cut(best.select("path", "b.license", (-F.col("b.s")).alias("similarity")), "own")
 
 
-def license_scan(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD, stated_counts: bool = False) -> DataFrame:
+def license_scan(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD, stated_counts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Own and effective licence of every file.
 
     ``files`` has path (directories separated by /) and text.  Gives path,
     license and similarity (null where the file states none), directory,
     effective_license and inherited_from (the directory that gave it; null for
-    own ones).  A directory's licence comes from its licence files, or from
-    every file that states one if ``stated_counts``; of several the first path
-    counts.  Null texts and empty ones state nothing; a null path has no
-    directory and inherits nothing; rows of one path are one file for its
-    licence and stay rows; other columns are ignored; no rows give none.
+    own ones), after the columns of ``keep``, which are passed on as they are.
+    A directory's licence comes from its licence files, or from every file that
+    states one if ``stated_counts``; of several the first path counts.  Null
+    texts and empty ones state nothing; a null path has no directory and
+    inherits nothing; rows of one path are one file for its licence and stay
+    rows; other columns are ignored; no rows give none.
     """
-    slim = files.select("path", "text")
+    if taken := {"path", "text", "directory", "license", "similarity", "effective_license", "inherited_from"} & set(keep):
+        raise ValueError(f"names of the result can't be kept: {sorted(taken)}")
+    slim = files.select("path", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("kept"))
     own = own_licenses(spark, slim, threshold)
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
     notices = own if stated_counts else own.where(F.col("path").rlike(LICENSE_FILE))
@@ -154,23 +167,24 @@ def license_scan(spark: SparkSession, files: DataFrame, threshold: float = THRES
     nearest = above.join(declared, "ancestor").groupBy("directory").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "ancestor", "given")).alias("n"))
     given = nearest.select("directory", F.col("n.ancestor").alias("ancestor"), F.col("n.given").alias("given"))
 
-    rows = slim.select("path", F.when(F.col("path").isNotNull(), folder).alias("directory")).join(own, "path", "left").join(given, "directory", "left")
+    rows = slim.select("path", "kept", F.when(F.col("path").isNotNull(), folder).alias("directory")).join(own, "path", "left").join(given, "directory", "left")
     return rows.select(
-        "path", "directory", "license", "similarity", F.coalesce("license", "given").alias("effective_license"), F.when(F.col("license").isNull(), F.col("ancestor")).alias("inherited_from")
-    )
+        *(F.col(f"kept.`{c}`") for c in keep), "path", "directory", "license", "similarity", F.coalesce("license", "given").alias("effective_license"),
+        F.when(F.col("license").isNull(), F.col("ancestor")).alias("inherited_from"),
+    )
 
 
 def tree_path(columns: tuple[str, str] = ("source", "lang"), key: str = "doc_id") -> Column:
     """A path for a row of ``documents``: source, language, then a directory a digit, so ids with a common beginning share ancestors."""
-    digits = F.col(key).cast("string")
-    return F.concat_ws("/", *(F.coalesce(F.col(c), F.lit("none")) for c in columns), F.regexp_replace(digits, r"(?<=\d)(?=\d)", "/"))
+    digits = F.array_join(F.regexp_extract_all(F.col(key).cast("string"), F.lit(r"-?\d"), F.lit(0)), "/")
+    return F.concat_ws("/", *(F.coalesce(F.col(c), F.lit("none")) for c in columns), F.coalesce(digits, F.lit("none")))
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
     """DuckDB SQL of the query: documents at ``tree_path``, every stated licence counts for its directory."""
     return rf"""
     WITH files AS MATERIALIZED (
-      SELECT doc_id, text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || array_to_string(regexp_extract_all(doc_id::VARCHAR, '\d'), '/') AS path FROM documents),
+      SELECT doc_id, text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(array_to_string(regexp_extract_all(doc_id::VARCHAR, '-?\d'), '/'), 'none') AS path FROM documents),
     t AS (SELECT * FROM (VALUES {_values()}) AS t(license, body)),
     tf AS (SELECT license, token, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS token FROM t) GROUP BY ALL),
     idf AS (SELECT token, ln((1.0 + {len(TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY token),

@@ -66,9 +66,8 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree; a document that states a licence stands for a licence file of its directory."""
-    files = table(spark, sf_dir, "documents").select(tree_path().alias("path"), "text")
-    # The path ends in the digits of the document's id.
-    return license_scan(spark, files, stated_counts=True).select(F.replace(F.regexp_extract("path", "^[^/]*/[^/]*/(.*)$", 1), F.lit("/"), F.lit("")).cast("long").alias("doc_id"), "*")
+    files = table(spark, sf_dir, "documents").select("doc_id", tree_path().alias("path"), "text")
+    return license_scan(spark, files, stated_counts=True, keep=("doc_id",))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
