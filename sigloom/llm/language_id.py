@@ -86,6 +86,7 @@ def train(rows: DataFrame, size: int = SIZE) -> dict[str, list[int]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+        sizes: dict[str, int] = {}
 
         def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
             grams, where = np.unique(np.concatenate([g for g, _ in held[lang]]), return_inverse=True)
@@ -99,12 +100,13 @@ def train(rows: DataFrame, size: int = SIZE) -> dict[str, list[int]]:
             for k in range(0, batch.num_rows, 256):
                 for text, lang in zip(batch.column(0).slice(k, 256).to_pylist(), batch.column(1).slice(k, 256).to_pylist(), strict=True):
                     held.setdefault(lang, []).append(gram_counts(text))
-                for lang, parts in list(held.items()):
-                    if sum(len(g) for g, _ in parts) > 1_000_000:  # memory stays bounded
-                        held[lang] = [merged(lang)]
-                        if len(held[lang][0][0]) > 500_000:
-                            yield out(lang)
-                            del held[lang]
+                    sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1][0])
+                for lang in [x for x, n in sizes.items() if n > 1_000_000]:  # memory stays bounded
+                    held[lang] = [merged(lang)]
+                    sizes[lang] = len(held[lang][0][0])
+                    if sizes[lang] > 500_000:
+                        yield out(lang)
+                        del held[lang], sizes[lang]
         for lang in held:
             yield out(lang)
 

@@ -527,3 +527,69 @@ copyright notice and this permission notice appear in all copies."""
             want[f"{name}/LICENSE"] = (path.read_text(), license)
     got = {r.path: r.license for r in license_scan(spark, spark.createDataFrame([(k, t) for k, (t, _) in want.items()], "path string, text string")).collect()}
     assert got == {k: license for k, (_, license) in want.items()}
+
+
+def test_license_query_on_awkward_documents(spark, tmp_path):
+    """Null ids, slashes in a source, negative ids, ties, very long texts; against DuckDB on the same rows."""
+    import duckdb
+
+    tie = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    rows = [(1, "Released under the MIT License.", "en", "a/b"), (12, "plain", "en", "a/b"), (None, "Licensed under the Apache License, Version 2.0.", None, "s"), (-5, "plain", "e/n", None), (5, tie, "e/n", None), (None, None, None, None)]
+    rows += [(7, "word " * 100_000 + "\nReleased under the MIT License.", "en", "s"), (8, "", "en", "s"), (12, "plain", "en", "a/b")]
+    spark.createDataFrame([(*r, 0) for r in rows], PLAIN).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_license_scan"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    from sigloom.llm.queries import ORACLE
+
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE['op8_license_scan']})").fetchall()
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want) and len(want) == len(rows)
+
+
+def plain_discriminant(x, y, pool=qc.POOL, ridge=qc.RIDGE):
+    """The posterior by the textbook formula, with inverses and determinants."""
+    share, mean, cov, n = {}, {}, {}, len(y)
+    for c in (0, 1):
+        own = x[y == c]
+        share[c], mean[c], cov[c] = len(own) / n, own.mean(axis=0), np.cov(own.T, bias=True)
+    pooled = sum(share[c] * cov[c] for c in (0, 1))
+    spread = np.diag(np.maximum(np.diag(pooled), 1e-6))
+
+    def score(rows):
+        log = []
+        for c in (0, 1):
+            lean = min(1.0, pool + x.shape[1] / (x.shape[1] + share[c] * n))
+            s = (1 - ridge) * ((1 - lean) * cov[c] + lean * pooled) + ridge * spread
+            d = rows - mean[c]
+            log.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) + np.linalg.slogdet(s)[1]) + np.log(share[c]))
+        return 1 / (1 + np.exp(log[0] - log[1]))
+
+    return score
+
+
+def test_classifier_equals_the_plain_formula(spark):
+    docs, marks = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    quality = {r.doc_id: r.quality for r in marks.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    taught = [k for k in texts if quality.get(k) in (0, 1) and zlib.crc32(str(k).encode()) % 5]
+    x = np.array([qc.statistics(texts[k]) for k in taught])
+    score = plain_discriminant(x, np.array([quality[k] for k in taught]))
+    for r in qc.quality_classifier(spark, docs, marks).collect():
+        assert abs(r.score - score(np.array([qc.statistics(texts[r.doc_id])]))[0]) < 1e-6
+
+
+def test_language_query_equals_a_plain_one(spark):
+    """Profiles by counting, ranks by sorting, distances by a loop, ties by name, over a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(dict(zip(*(a.tolist() for a in gram_counts(r.text)), strict=True)))
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:300]]
+    ranks = {lang: {g: k for k, g in enumerate(top(c))} for lang, c in counts.items()}
+    for r, got in zip(sorted(rows, key=lambda r: r.doc_id), language_id(spark, docs).orderBy("doc_id").collect(), strict=True):
+        own = top(dict(zip(*(a.tolist() for a in gram_counts(r.text)), strict=True)))
+        far = {lang: sum(abs(place[g] - k) if g in place else 300 for k, g in enumerate(own)) for lang, place in ranks.items()}
+        best = min(sorted(far), key=far.get) if own else "und"
+        assert got.lang_pred == best and abs(got.score - (1 - far[best] / (300 * len(own)) if own else 0)) < 1e-12
