@@ -7,23 +7,35 @@ one job (``evaluate``), and a sampler's draws are joined with the results.
 from __future__ import annotations
 
 import math
+import time
+from bisect import insort
+from collections import Counter
 from collections.abc import Callable
+from datetime import date, timedelta
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.stats import bootstrap_ci, expected_max_sharpe, kurtosis, normal_cdf, psr_z, skewness
+from sigloom.operators.panel import build_panel
 from sigloom.operators.portfolio import annual, backtest, metrics, net, sharpe, split_dim
-from sigloom.operators.signals import FAMILIES, LONGS, LOOKBACKS, NORMALIZERS, SHORTS, Expression, forward_returns, sample_expression, signals
+from sigloom.operators.signals import FAMILIES, LONGS, LOOKBACKS, NORMALIZERS, SHORTS, Expression, sample_expression, signals
 
 METRICS = ("sharpe", "sortino", "max_drawdown", "annualized_volatility", "ic", "turnover", "n_observations")
 COSTS = (0.0, 1.0, 2.0, 5.0, 10.0, 20.0)
+#: Expressions from which on they are parallel enough by themselves.
+MANY = 64
 
 
 def evaluate(panel: DataFrame, expressions: list[Expression], horizon: int) -> DataFrame:
-    """expr_id, d_idx, port_ret, ic, turnover of all expressions in one job."""
-    return backtest(signals(panel, expressions), forward_returns(panel, horizon))
+    """expr_id, d_idx, port_ret, ic, turnover of all expressions in one job.
+
+    Many expressions are dealt out by expression once; every window after that
+    is within one, so nothing is shuffled again.  Few go by date and ticker, in parallel.
+    """
+    rows = signals(panel, expressions, horizon)
+    return backtest(rows.repartition("expr_id") if len(expressions) >= MANY else rows)
 
 
 def dimension(spark: SparkSession, expressions: list[Expression]) -> DataFrame:
@@ -33,7 +45,7 @@ def dimension(spark: SparkSession, expressions: list[Expression]) -> DataFrame:
 
 def by_split(days: DataFrame, splits: DataFrame, horizon: int) -> DataFrame:
     """Metrics of each expression in each split; turnover was differenced on the whole panel before."""
-    return metrics(days.join(F.broadcast(splits.select("d_idx", "split")), "d_idx"), horizon, ("expr_id", "split"))
+    return metrics(days.join(splits.select("d_idx", "split"), "d_idx"), horizon, ("expr_id", "split"))
 
 
 def trial_rows(split_metrics: DataFrame) -> DataFrame:
@@ -63,17 +75,17 @@ class CategoricalTpe:
     """
 
     def __init__(self, seed: int, warmup: int = 10, draws: int = 24) -> None:
-        self.rng, self.warmup, self.draws, self.trials = np.random.default_rng(seed), warmup, draws, []
+        self.rng, self.warmup, self.draws = np.random.default_rng(seed), warmup, draws
+        self.ordered: list[tuple[float, int, dict]] = []  # best first, the earlier of equals
+        self.seen: dict[str, Counter] = {}
 
     def _choose(self, name: str, values: list):
-        if len(self.trials) < self.warmup:
+        if len(self.ordered) < self.warmup:
             return values[int(self.rng.integers(0, len(values)))]
-        ordered = sorted(self.trials, key=lambda t: -t[1])
-        cut = min(25, math.ceil(0.1 * len(ordered)))
-        share = []
-        for part in (ordered[:cut], ordered[cut:]):
-            seen = [t[0][name] for t in part if name in t[0]]
-            w = np.array([seen.count(v) for v in values], float) + 1.0 / len(values)
+        best = Counter(t[name] for _, _, t in self.ordered[: min(25, math.ceil(0.1 * len(self.ordered)))] if name in t)
+        every, share = self.seen.get(name, Counter()), []
+        for count in ([best[v] for v in values], [every[v] - best[v] for v in values]):
+            w = np.array(count, float) + 1.0 / len(values)
             share.append(w / w.sum())
         picks = self.rng.choice(len(values), size=self.draws, p=share[0])
         return values[int(picks[np.argmax(np.log(share[0][picks]) - np.log(share[1][picks]))])]
@@ -99,7 +111,9 @@ class CategoricalTpe:
         return p, Expression(family, lookback, short, long, by)
 
     def tell(self, parameters: dict, value: float) -> None:
-        self.trials.append((parameters, value if math.isfinite(value) else -1e6))
+        insort(self.ordered, (-(value if math.isfinite(value) else -1e6), len(self.ordered), parameters))
+        for name, v in parameters.items():
+            self.seen.setdefault(name, Counter())[v] += 1
 
 
 def bayesian_draws(n: int, seed: int, objective: Callable[[Expression], float | None]) -> list[tuple[int, Expression]]:
@@ -128,11 +142,16 @@ def combine(*logs: DataFrame) -> DataFrame:
     return out.withColumn("iteration", (F.row_number().over(Window.orderBy("_log", "source_iteration")) - 1).cast("long")).drop("_log")  # a row a trial
 
 
+def canonical(expression: str = "expression") -> Column:
+    """An expression's JSON with sorted keys and no blanks, so that equal ones are equal as texts however they were written."""
+    return F.to_json(F.parse_json(expression))
+
+
 def winners(trials: DataFrame, by: str = "sharpe", order: str = "iteration") -> DataFrame:
     """The best trial of each optimizer (infinite ones too, the first of equals), and whether two chose one expression."""
     place = F.row_number().over(Window.partitionBy("optimizer").orderBy(F.col(by).desc_nulls_last(), order))
     best = trials.withColumn("_place", place).where("_place = 1").drop("_place")
-    return best.withColumn("winner_expression_duplicated", F.count("*").over(Window.partitionBy("expression")) > 1)
+    return best.withColumn("winner_expression_duplicated", F.count("*").over(Window.partitionBy(canonical())) > 1)
 
 
 def swept(days: DataFrame, horizon: int, costs: tuple[float, ...] = COSTS, by: tuple[str, ...] = ("expr_id",)) -> DataFrame:
@@ -183,7 +202,7 @@ def holdout(trials: DataFrame, days: DataFrame, splits: DataFrame, horizon: int,
     turnover = "validation_turnover" if "validation_turnover" in trials.columns else "turnover"
     source = "source_iteration" if "source_iteration" in trials.columns else "iteration"
     test = splits.where("split = 'test'")
-    told = _audit(days.join(F.broadcast(test.select("d_idx")), "d_idx"), horizon, cost, "test", seed)
+    told = _audit(days.join(test.select("d_idx"), "d_idx"), horizon, cost, "test", seed)
     best = winners(trials, selection).select(
         "expr_id", "optimizer", F.col(source).alias("source_iteration"), "expression", F.lit(selection).alias("selection_metric"),
         F.col(selection).alias("selection_sharpe"), F.col(turnover).alias("selection_turnover"), "winner_expression_duplicated",
@@ -202,8 +221,9 @@ def holdout(trials: DataFrame, days: DataFrame, splits: DataFrame, horizon: int,
 
 
 def frozen(chosen: DataFrame) -> DataFrame:
-    """expression, optimizer: the distinct selected expressions, and who selected them, as ``a+b``."""
-    return chosen.groupBy("expression").agg(F.array_join(F.array_sort(F.collect_list("optimizer")), "+").alias("optimizer"))
+    """expression, optimizer: the distinct selected expressions (the first text of equal ones), and who selected them, as ``a+b``."""
+    told = chosen.groupBy(canonical().alias("_key")).agg(F.min("expression").alias("expression"), F.array_join(F.array_sort(F.collect_list("optimizer")), "+").alias("optimizer"))
+    return told.drop("_key")
 
 
 def power_verdict(n: Column, horizon: int, width: Column) -> Column:
@@ -222,7 +242,7 @@ def forward_test(chosen: DataFrame, days: DataFrame, dates: DataFrame, boundary:
     after = dates.where(F.col("date") > boundary)
     if after.isEmpty():
         raise ValueError("no dates after the boundary")
-    told = _audit(days.join(F.broadcast(after.select("d_idx")), "d_idx"), horizon, cost, "forward", seed)
+    told = _audit(days.join(after.select("d_idx"), "d_idx"), horizon, cost, "forward", seed)
     window = after.agg(F.date_format(F.min("date"), "yyyy-MM-dd").alias("forward_start"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("forward_end"))
     told = with_psr(told, F.lit(0.0), horizon).withColumn("width", F.col("ci_upper") - F.col("ci_lower"))
     joined = chosen.join(told, "expr_id").crossJoin(F.broadcast(window))
@@ -234,3 +254,34 @@ def forward_test(chosen: DataFrame, days: DataFrame, dates: DataFrame, boundary:
         "cost_sensitivity", power_verdict(F.col("n"), horizon, F.col("width")).alias("power_verdict"), *(f"forward_{m}" for m in METRICS),
         F.col("skewness").alias("forward_skewness"), F.col("kurtosis").alias("forward_kurtosis"), F.col("probabilistic_sharpe_ratio").alias("forward_probabilistic_sharpe_ratio"),
     )
+
+
+WARMUP_DAYS = 730
+
+
+def forward_bars(bars: DataFrame, boundary: date, end: date) -> DataFrame:
+    """The bars of a forward panel: ``WARMUP_DAYS`` before the study's last date up to ``end``; an ``end`` not after it is an error."""
+    if end <= boundary:
+        raise ValueError(f"no dates after the study, which ends on {boundary}; {end} was asked for")
+    return bars.where(F.col("date").between(F.lit(boundary - timedelta(days=WARMUP_DAYS)), F.lit(end)))
+
+
+def refresh_forward(panel: DataFrame, bars: Callable[[date, date], DataFrame], folder: str, end: date | None = None) -> DataFrame:
+    """Build a forward panel in a folder of its own, never in the study's: ``bars(start, end)`` is the source."""
+    (boundary,), stop = panel.agg(F.max("date")).first(), end or date.today()
+    if stop <= boundary:
+        raise ValueError(f"no dates after the study, which ends on {boundary}; {stop} was asked for")
+    own = forward_bars(bars(boundary - timedelta(days=WARMUP_DAYS), stop), boundary, stop)
+    build_panel(own).write.mode("overwrite").parquet(folder)
+    return panel.sparkSession.read.parquet(folder)
+
+
+def timing_check(search: Callable[[int], DataFrame], counts: tuple[int, ...] = (5, 10, 20)) -> list[dict[str, float]]:
+    """Seconds of searches of several lengths: iterations, seconds, seconds_per_iteration."""
+    out = []
+    for n in counts:
+        began = time.perf_counter()
+        search(n).write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - began
+        out.append({"iterations": n, "seconds": took, "seconds_per_iteration": took / n})
+    return out

@@ -40,6 +40,11 @@ def chosen(trials: DataFrame, primitives: list[str], optimizers: list[str], low:
     return trials.where(F.col("primitive").isin(primitives) & F.col("optimizer").isin(optimizers) & F.col("sharpe").between(low, high))
 
 
+def by_row_id(exposed_trials: DataFrame, row_id: str) -> DataFrame:
+    """The one evaluation that was selected, or no row."""
+    return exposed_trials.where(F.col("row_id") == row_id)
+
+
 def raw_features(trials: DataFrame, key: str = "iteration", outcomes: bool = True) -> DataFrame:
     """``key`` and 16 numbers (10 without outcomes); absent parameters are 0."""
     e = parsed(trials)
@@ -82,7 +87,7 @@ def pair_distances(vectors: DataFrame) -> DataFrame:
     """a, b, distance of all unordered pairs; for trial logs, which have some hundred rows."""
     a, b = vectors.select(F.col("key").alias("a"), F.col("x").alias("xa")), vectors.select(F.col("key").alias("b"), F.col("x").alias("xb"))
     square = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.sqrt(square).alias("distance"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.sqrt(square).alias("distance"))
 
 
 def neighbours(vectors: DataFrame, k: int) -> DataFrame:
@@ -97,7 +102,7 @@ def mutual_reachability(vectors: DataFrame, k: int) -> DataFrame:
     """a, b, distance: no less than either's distance to its ``k``-th neighbour, itself being the first."""
     core = neighbours(vectors, k - 1).groupBy("key").agg(F.max("distance").alias("core"))
     half = pair_distances(vectors)
-    out = half.join(F.broadcast(core.select(F.col("key").alias("a"), F.col("core").alias("ca"))), "a").join(F.broadcast(core.select(F.col("key").alias("b"), F.col("core").alias("cb"))), "b")
+    out = half.join(core.select(F.col("key").alias("a"), F.col("core").alias("ca")), "a").join(core.select(F.col("key").alias("b"), F.col("core").alias("cb")), "b")
     return out.select("a", "b", F.greatest("distance", "ca", "cb").alias("distance"))
 
 

@@ -6,7 +6,7 @@ Panels are as large as dates times tickers, whatever the number of trades.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of tickers that a date needs, and share of dates that a ticker may miss.
@@ -23,22 +23,25 @@ def common_tickers(bars: DataFrame) -> DataFrame:
 
 
 def dense(bars: DataFrame) -> DataFrame:
-    """A row for every date and common ticker.  Both lists are short, so the grid is made by broadcasting the tickers."""
-    tickers = common_tickers(bars)
-    grid = bars.select("date").distinct().crossJoin(F.broadcast(tickers))
+    """A row for every date and common ticker: the grid is the product of both lists, as many rows as the panel has cells."""
+    grid = bars.select("date").distinct().crossJoin(common_tickers(bars))
     return grid.join(bars, ["date", "ticker"], "left").select("date", "ticker", "close", "volume")
 
 
+def _share(column: str, by: str) -> Column:
+    """Share of cells of the grid with a value, among those of one date or ticker."""
+    own = Window.partitionBy(by)
+    return F.count(column).over(own) / F.count("*").over(own)
+
+
 def eligible_dates(bars: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Dates on which enough of the tickers have a close: date, covered."""
-    tickers = common_tickers(bars)
-    counted = bars.join(F.broadcast(tickers), "ticker", "left_semi").groupBy("date").agg(F.count("close").alias("n"))
-    return counted.crossJoin(F.broadcast(tickers.agg(F.count("*").alias("tickers")))).select("date", (F.col("n") / F.col("tickers")).alias("covered")).where(F.col("covered") >= coverage)
+    return dense(bars).groupBy("date").agg((F.count("close") / F.count("*")).alias("covered")).where(F.col("covered") >= coverage)
 
 
 def filled(bars: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The grid of eligible dates; the first row of each gap takes the value before it."""
-    grid = dense(bars).join(F.broadcast(eligible_dates(bars, coverage).select("date")), "date", "left_semi")
+    grid = dense(bars).withColumn("covered", _share("close", "date")).where(F.col("covered") >= coverage)
     first = lambda c: F.coalesce(c, F.lag(c).over(by_ticker())).alias(c)
     return grid.select("date", "ticker", first("close"), first("volume"))
 
@@ -50,12 +53,16 @@ def kept_tickers(grid: DataFrame, missing: float = MISSING) -> DataFrame:
 
 
 def build_panel(bars: DataFrame, coverage: float = COVERAGE, missing: float = MISSING) -> DataFrame:
-    """d_idx, date, ticker, price, ret, volume of all cells of the clean panel."""
-    grid = filled(bars, coverage)
-    kept = grid.join(F.broadcast(kept_tickers(grid, missing).select("ticker")), "ticker", "left_semi")
-    dates = kept.select("date").distinct().select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("d_idx"))  # a row a date
+    """d_idx, date, ticker, price, ret, volume of all cells of the clean panel.
+
+    Windows by date and by ticker over the grid, no joins back to the bars: as
+    the grid is dense, a ticker's rows are numbered like the dates.
+    """
+    grid = filled(bars, coverage).withColumn("lost", F.greatest(1 - _share("close", "ticker"), 1 - _share("volume", "ticker")))
     change = F.try_divide("close", F.lag("close").over(by_ticker())) - 1
-    return kept.withColumn("ret", change).join(F.broadcast(dates), "date").select("d_idx", "date", "ticker", F.col("close").alias("price"), "ret", "volume")
+    return grid.where(F.col("lost") <= missing).select(
+        (F.row_number().over(by_ticker()) - 1).alias("d_idx"), "date", "ticker", F.col("close").alias("price"), change.alias("ret"), "volume"
+    )
 
 
 def missing_runs(grid: DataFrame, column: str = "close") -> DataFrame:
@@ -73,7 +80,7 @@ def sanity(panel: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(F.col("price") <= 0), F.lit(False)).alias("zero_or_negative_prices"), F.coalesce(F.bool_or(F.col("volume") < 0), F.lit(False)).alias("negative_volume"),
     )
     own = panel.groupBy("ticker").agg((1 - F.count("price") / F.count("*") > MISSING).alias("over_5pct_missing"))
-    return own.join(missing_runs(panel, "price"), "ticker").crossJoin(F.broadcast(whole)).withColumnRenamed("longest", "max_missing_run")
+    return own.join(missing_runs(panel, "price"), "ticker").crossJoin(whole).withColumnRenamed("longest", "max_missing_run")
 
 
 def study_boundary(panel: DataFrame) -> DataFrame:

@@ -34,22 +34,31 @@ def ranks(signals: DataFrame) -> DataFrame:
 def weights(signals: DataFrame) -> DataFrame:
     """expr_id, d_idx, ticker, w: centred ranks over their absolute sum; the deviation of the ranks cancels out."""
     centred = ranks(signals).withColumn("c", F.col("rank") - F.avg("rank").over(_cross()))
-    return centred.select("expr_id", "d_idx", "ticker", "c", F.try_divide("c", F.nullif(F.sum(F.abs("c")).over(_cross()), F.lit(0.0))).alias("w"))
+    extra = [c for c in signals.columns if c == "fwd"]
+    return centred.select("expr_id", "d_idx", "ticker", *extra, "c", F.try_divide("c", F.nullif(F.sum(F.abs("c")).over(_cross()), F.lit(0.0))).alias("w"))
 
 
 def lagged(weighted: DataFrame) -> DataFrame:
     """The weights of the row before, and their centred ranks."""
     before = Window.partitionBy("expr_id", "ticker").orderBy("d_idx")
-    return weighted.select("expr_id", "d_idx", "ticker", F.lag("w").over(before).alias("w"), F.lag(F.when(F.col("w").isNotNull(), F.col("c"))).over(before).alias("c"))
+    extra = [c for c in weighted.columns if c == "fwd"]
+    return weighted.select("expr_id", "d_idx", "ticker", *extra, F.lag("w").over(before).alias("w"), F.lag(F.when(F.col("w").isNotNull(), F.col("c"))).over(before).alias("c"))
 
 
-def tradable(lagged_: DataFrame, forward: DataFrame) -> DataFrame:
-    """Adds fwd, and tw: weights of cells with a realised return, scaled to gross 1 again."""
-    joined = lagged_.join(forward, ["d_idx", "ticker"])
+def tradable(lagged_: DataFrame, forward: DataFrame | None = None) -> DataFrame:
+    """Adds fwd (unless the rows have it), and tw: weights of cells with a realised return, scaled to gross 1 again."""
+    joined = lagged_ if forward is None else lagged_.join(forward, ["d_idx", "ticker"])
     held = joined.withColumn("t", F.when(F.col("fwd").isNotNull(), F.col("w")))
     return held.withColumn("tw", F.try_divide("t", F.nullif(F.sum(F.abs("t")).over(_cross()), F.lit(0.0)))).drop("t")
 
 
+def aligned(signals: DataFrame, forward: DataFrame) -> DataFrame:
+    """``backtest`` of tables that needn't have one grid; without a common cell it is an error."""
+    if signals.select("d_idx", "ticker").join(forward.select("d_idx", "ticker"), ["d_idx", "ticker"], "left_semi").isEmpty():
+        raise ValueError("signals and returns have no date and ticker in common")
+    return backtest(signals, forward)
+
+
 def daily(held: DataFrame) -> DataFrame:
     """expr_id, d_idx, port_ret, ic, turnover: one row a date and expression."""
     before = Window.partitionBy("expr_id", "ticker").orderBy("d_idx")
@@ -64,8 +73,8 @@ def daily(held: DataFrame) -> DataFrame:
     )
 
 
-def backtest(signals: DataFrame, forward: DataFrame) -> DataFrame:
-    """``daily`` of signals and forward returns on one grid."""
+def backtest(signals: DataFrame, forward: DataFrame | None = None) -> DataFrame:
+    """``daily`` of signals and forward returns on one grid; without ``forward`` the signals bring theirs along as ``fwd``."""
     return daily(tradable(lagged(weights(signals)), forward))
 
 

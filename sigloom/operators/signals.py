@@ -1,7 +1,7 @@
 """The expression grammar and its rolling-window signals.
 
-All windows of a panel run over one sort by ticker and row: the signals of all
-lookbacks are columns of a single select, which are then unfolded to rows.
+All windows of a panel run over one sort by ticker and row: the series of all
+lookbacks are columns of a single select, from which expressions are unfolded.
 """
 
 from __future__ import annotations
@@ -127,33 +127,58 @@ def ma_crossover(short: int, long: int) -> Column:
     return F.col(f"ewm_{short}") - _full("price", long, F.avg("price").over(_frame(long)))
 
 
-def signal(e: Expression) -> Column:
-    """The column of an expression over a panel."""
+def _series(e: Expression) -> tuple[Column, Column | None]:
+    """The window of an expression before it is normalized, and what it is divided by."""
     if e.primitive == "ma_crossover":
-        out = ma_crossover(e.short, e.long)
+        own = ma_crossover(e.short, e.long)
     else:
-        out = {"momentum": momentum, "mean_reversion": mean_reversion, "volatility": volatility, "volume_ratio": volume_ratio}[e.primitive](e.lookback)
-    if e.normalize_lookback:
-        out = F.try_divide(out, volatility(e.normalize_lookback))
-    return F.when(F.abs(out) < F.lit(float("inf")), out)
+        own = {"momentum": momentum, "mean_reversion": mean_reversion, "volatility": volatility, "volume_ratio": volume_ratio}[e.primitive](e.lookback)
+    return own, volatility(e.normalize_lookback) if e.normalize_lookback else None
 
 
-def signals(panel: DataFrame, expressions: list[Expression]) -> DataFrame:
-    """expr_id, d_idx, ticker, signal for all cells; expr_id is the place in the list."""
+def signals(panel: DataFrame, expressions: list[Expression], horizon: int | None = None) -> DataFrame:
+    """expr_id, d_idx, ticker, signal for all cells; expr_id is the place in the list.
+
+    Each rolling series is a column of its own, computed once whatever the
+    number of expressions made of it; the expressions are then unfolded from
+    one row of series, so their number multiplies rows, never windows.  With a
+    ``horizon`` the cell's forward return comes along as ``fwd``.
+    """
     spans = tuple(sorted({e.short for e in expressions if e.primitive == "ma_crossover"}))
     wide = with_ewm(panel, spans) if spans else panel
-    # One select: Spark evaluates equal windows once.
-    cells = wide.select("d_idx", "ticker", *(signal(e).alias(f"s{k}") for k, e in enumerate(expressions)))
-    rows = F.array(*(F.struct(F.lit(k).alias("expr_id"), F.col(f"s{k}").alias("signal")) for k in range(len(expressions))))
-    return cells.select("d_idx", "ticker", F.explode(rows).alias("r")).select("r.expr_id", "d_idx", "ticker", F.round("r.signal", DIGITS).alias("signal"))
-
-
-def forward_returns(panel: DataFrame, horizon: int) -> DataFrame:
-    """d_idx, ticker, fwd: the return compounded over this row and the ``horizon - 1`` after it."""
+    series: dict[tuple, Column] = {}
+
+    def place(key: tuple, column: Column) -> int:
+        series.setdefault(key, column)
+        return list(series).index(key) + 1
+
+    told = []
+    for k, e in enumerate(expressions):
+        own, by = _series(e)
+        told.append((k, place((e.primitive, e.lookback, e.short, e.long), own), place(("volatility", e.normalize_lookback, None, None), by) if by is not None else 0))
+    extra = [forward(horizon).alias("fwd")] if horizon else []
+    cells = wide.select("d_idx", "ticker", *extra, *(c.alias(f"s{k}") for k, c in enumerate(series.values())))
+    columns = F.array(*(F.col(f"s{k}") for k in range(len(series)))).alias("x")
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("expr_id"), F.lit(a).alias("own"), F.lit(b).alias("by")) for k, a, b in told))).alias("e")
+    names = ["d_idx", "ticker", *(["fwd"] if horizon else [])]
+    rows = cells.select(*names, columns).select(*names, "x", asked)
+    own = F.element_at("x", F.col("e.own"))
+    value = F.when(F.col("e.by") > 0, F.try_divide(own, F.element_at("x", F.greatest(F.col("e.by"), F.lit(1))))).otherwise(own)
+    finite = F.when(F.abs(value) < F.lit(float("inf")), value)
+    return rows.select("e.expr_id", "d_idx", "ticker", F.round(finite, DIGITS).alias("signal"), *names[2:])
+
+
+def forward(horizon: int) -> Column:
+    """The return compounded over this row and the ``horizon - 1`` after it."""
     if horizon < 1:
         raise ValueError("horizon must be at least 1")
     ahead = Window.partitionBy("ticker").orderBy("d_idx").rowsBetween(0, horizon - 1)
-    return panel.select("d_idx", "ticker", F.when(F.count("ret").over(ahead) == horizon, F.product(1 + F.col("ret")).over(ahead) - 1).alias("fwd"))
+    return F.when(F.count("ret").over(ahead) == horizon, F.product(1 + F.col("ret")).over(ahead) - 1)
+
+
+def forward_returns(panel: DataFrame, horizon: int) -> DataFrame:
+    """d_idx, ticker, fwd; see ``forward``."""
+    return panel.select("d_idx", "ticker", forward(horizon).alias("fwd"))
 
 
 def sample_expression(rng: np.random.Generator) -> Expression:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from sigloom.operators.signals import Expression
-from sigloom.plans.queries import BOUNDARY, HORIZON, ONE, SIGNALS, TRIALS
+from sigloom.plans.queries import HORIZON, ONE, SIGNALS, TRIALS
 
 A = math.sqrt(252 / HORIZON)
 METRICS = ("sharpe", "sortino", "max_drawdown", "annualized_volatility", "ic", "turnover", "n_observations")
@@ -93,7 +93,7 @@ def _metrics(source: str, by: str) -> str:
 
 def _values() -> str:
     quote = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    rows = [(k, "bayesian" if k % 2 else "random", k // 2, e.json(), e.primitive, e.lookback) for k, e in enumerate(TRIALS)]
+    rows = [(k, "bayesian" if k % 2 else "random", k // 2, e.json(), e.primitive, e.lookback, e.short, e.long, e.normalize_lookback) for k, e in enumerate(TRIALS)]
     return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
@@ -101,7 +101,7 @@ _PICK = ", ".join([f"max(CASE WHEN split = 'validation' THEN {m} END) AS {m}" fo
 _STOPS = "(SELECT count(DISTINCT d_idx)::DOUBLE AS n FROM panel)"
 FEATURES = ["lookback", "short", "long", "normalize_lookback", *(f"primitive_{f}" for f in ("momentum", "mean_reversion", "volatility", "volume_ratio", "ma_crossover")), "normalize_by_volatility", "sharpe", "sortino", "ic", "turnover", "annualized_volatility", "max_drawdown"]
 _RAW = ", ".join(
-    ["lookback::DOUBLE AS lookback", *(f"0.0::DOUBLE AS {c}" for c in ("short", "long", "normalize_lookback")), *(f"(primitive = '{f[10:]}')::INT::DOUBLE AS {f}" for f in FEATURES[4:9]), "0.0::DOUBLE AS normalize_by_volatility"]
+    [*(f"coalesce({c}, 0)::DOUBLE AS {n}" for c, n in (("lookback", "lookback"), ("short", "short"), ("long", "long"), ("norm", "normalize_lookback"))), *(f"(primitive = '{f[10:]}')::INT::DOUBLE AS {f}" for f in FEATURES[4:9]), "(norm IS NOT NULL)::INT::DOUBLE AS normalize_by_volatility"]
     + [f"CASE WHEN abs({m}) < 'inf'::DOUBLE THEN {m} END AS {m}" for m in FEATURES[10:]]
 )
 
@@ -114,13 +114,13 @@ CTE = ",".join(
         *(_ewm(s) for s in (5, 20)),
         "smooth AS (SELECT * FROM panel JOIN ewm5 USING (ticker, d_idx) JOIN ewm20 USING (ticker, d_idx))",
         f"fwd AS MATERIALIZED (SELECT d_idx, ticker, CASE WHEN count(ret) OVER f = {HORIZON} THEN product(1 + ret) OVER f - 1 END AS fwd FROM panel WINDOW f AS (PARTITION BY ticker ORDER BY d_idx ROWS BETWEEN CURRENT ROW AND {HORIZON - 1} FOLLOWING))",
-        _signals("one", ONE), _signals("many", TRIALS), _chain("1", "one"), _chain("", "many"),
+        _signals("one", ONE), _signals("many", TRIALS, "smooth"), _chain("1", "one"), _chain("", "many"),
         f"splits AS (SELECT d_idx, date, CASE WHEN d_idx < floor(n * 0.6::DOUBLE) - {HORIZON - 1} THEN 'train' WHEN d_idx >= floor(n * 0.6::DOUBLE) AND d_idx < floor(n * 0.8::DOUBLE) - {HORIZON - 1} THEN 'validation' WHEN d_idx >= floor(n * 0.8::DOUBLE) AND d_idx < n - {HORIZON - 1} THEN 'test' END AS split FROM (SELECT DISTINCT d_idx, date FROM panel), {_STOPS})",
         f"whole AS MATERIALIZED ({_metrics('days', 'expr_id')})",
         "parts AS (SELECT expr_id || ':' || split AS es, * FROM days JOIN splits USING (d_idx) WHERE split IS NOT NULL)",
         f"bysplit AS MATERIALIZED (SELECT split_part(es, ':', 1)::INT AS expr_id, split_part(es, ':', 2) AS split, * EXCLUDE (es) FROM ({_metrics('parts', 'es')}))",
-        f"exprs AS (SELECT * FROM (VALUES {_values()}) AS t(expr_id, optimizer, iteration, expression, primitive, lookback))",
-        f"logs AS MATERIALIZED (SELECT expr_id, optimizer, iteration::BIGINT AS iteration, expression, primitive, lookback, {_PICK} FROM exprs JOIN bysplit USING (expr_id) GROUP BY ALL)",
+        f"exprs AS (SELECT * FROM (VALUES {_values()}) AS t(expr_id, optimizer, iteration, expression, primitive, lookback, short, long, norm))",
+        f"logs AS MATERIALIZED (SELECT expr_id, optimizer, iteration::BIGINT AS iteration, expression, primitive, lookback, short, long, norm, {_PICK} FROM exprs JOIN bysplit USING (expr_id) GROUP BY ALL)",
         "trials AS MATERIALIZED (SELECT * REPLACE (row_number() OVER (ORDER BY optimizer = 'bayesian', iteration) - 1 AS iteration), iteration AS source_iteration FROM logs)",
         "best AS (SELECT *, count(*) OVER (PARTITION BY expression) > 1 AS winner_expression_duplicated FROM (SELECT * FROM trials QUALIFY row_number() OVER (PARTITION BY optimizer ORDER BY sharpe DESC NULLS LAST, iteration) = 1))",
         f"sweep AS (SELECT expr_id, bps, {_sharpe('r')} AS sharpe FROM (SELECT expr_id, bps, port_ret - coalesce(turnover, 0) * bps / 10000 AS r FROM days, (SELECT unnest([0.0, 1.0, 2.0, 5.0, 10.0, 20.0]::DOUBLE[]) AS bps)) GROUP BY 1, 2)",
@@ -132,11 +132,15 @@ CTE = ",".join(
         f"pairs AS MATERIALIZED (SELECT a.iteration AS a, b.iteration AS b, sqrt({' + '.join(f'(a.{c} - b.{c}) * (a.{c} - b.{c})' for c in FEATURES)}) AS distance FROM scaled AS a JOIN scaled AS b ON a.iteration < b.iteration)",
         "near AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(distance, 9), neighbour) AS place FROM (SELECT a AS key, b AS neighbour, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs))",
         "core AS (SELECT key, max(distance) AS core FROM near WHERE place <= 3 GROUP BY 1)",
-        "clustered AS (SELECT *, (sharpe >= 0)::INT AS cluster FROM trials)",
+        "clustered AS (SELECT *, ntile(3) OVER (ORDER BY round(sharpe, 9) DESC NULLS LAST, iteration)::INT AS cluster FROM trials)",
     ]
 )
 
 
+_LABEL = "primitive || ' (' || CASE WHEN primitive = 'ma_crossover' THEN short || '/' || long ELSE lookback::VARCHAR END || ')' || CASE WHEN norm IS NOT NULL THEN ', ÷ vol ' || norm ELSE '' END"
+_LAST = "(SELECT floor(max(d_idx) * 0.8::DOUBLE) FROM panel)"
+
+
 def _sql(columns: str, source: str, *doubles: str) -> str:
     """``columns`` as they are, ``doubles`` rounded to six digits and never minus zero."""
     told = [c for c in columns.split(", ") if c] + [f"round({d}, 6) + 0.0 AS {d}" for d in doubles]
@@ -190,9 +194,10 @@ def _oracle() -> dict[str, str]:
         "search_progress": _sql("optimizer, source_iteration, optimizer_evaluation", "(SELECT optimizer, source_iteration, row_number() OVER w AS optimizer_evaluation, CASE WHEN sharpe IS NOT NULL THEN max(sharpe) OVER w END AS best_sharpe FROM trials WINDOW w AS (PARTITION BY optimizer ORDER BY source_iteration))", "best_sharpe"),
         "top10_trials": _sql("iteration, optimizer", "(SELECT * FROM trials ORDER BY sharpe DESC NULLS LAST, iteration LIMIT 10)", "sharpe"),
         "top_decile": _sql("iteration", "(SELECT *, (SELECT quantile_cont(sharpe, 0.9) FROM trials) AS cutoff FROM trials) WHERE sharpe >= cutoff", "sharpe", "cutoff"),
-        "traj_expose_fields": _sql("iteration, primitive, 'none' AS normalizer, primitive || ' (' || lookback || ')' AS expression_label, optimizer || ':' || iteration AS row_id, source_iteration", "trials"),
+        "traj_expose_fields": _sql(f"iteration, primitive, CASE WHEN norm IS NULL THEN 'none' ELSE 'volatility' END AS normalizer, {_LABEL} AS expression_label, optimizer || ':' || iteration AS row_id, source_iteration", "trials"),
+        "row_lookup": _sql("iteration, optimizer || ':' || iteration AS row_id, primitive", "trials WHERE optimizer || ':' || iteration = 'bayesian:9'", "sharpe"),
         "traj_filter": _sql("iteration, primitive, optimizer", "trials WHERE primitive = 'momentum' AND optimizer = 'random' AND sharpe BETWEEN -10 AND 10", "sharpe"),
-        "expression_label": _sql("expression, primitive || ' (' || lookback || ')' AS label", "exprs"),
+        "expression_label": _sql(f"expression, {_LABEL} AS label", "exprs"),
         "expression_fields": _sql("expr_id, json_extract_string(expression, '$.primitive') AS primitive, json_extract_string(expression, '$.lookback')::INT AS lookback, json_extract_string(expression, '$.normalize_by') AS normalize_by", "exprs"),
         "cost_sweep": _sql("expr_id", "sweep", "bps", "sharpe"),
         "break_even": _sql(
@@ -216,11 +221,11 @@ def _oracle() -> dict[str, str]:
               JOIN (SELECT row_number() OVER (ORDER BY d_idx) - 1 AS pos, port_ret FROM days1 WHERE port_ret IS NOT NULL) USING (pos) GROUP BY rep))""",
             "ci_lower", "ci_upper",
         ),
-        "frozen_expressions": _sql("primitive AS expression, array_to_string(list_sort(list(optimizer)), '+') AS optimizer", "exprs GROUP BY primitive"),
-        "forward_dates": _sql("DISTINCT d_idx, date", f"panel WHERE d_idx > {BOUNDARY}"),
+        "frozen_expressions": _sql("expression, string_agg(optimizer, '+' ORDER BY optimizer) AS optimizer", "best GROUP BY expression"),
+        "forward_dates": _sql("DISTINCT d_idx, date", f"panel WHERE d_idx > {_LAST}"),
         "forward_metrics": _sql(
             "expr_id, expression, selected_by, n_observations",
-            f"(SELECT expression, string_agg(optimizer, '+' ORDER BY optimizer) AS selected_by, any_value(expr_id) AS expr_id FROM best GROUP BY 1) JOIN ({_metrics(f'(SELECT * FROM days WHERE d_idx > {BOUNDARY})', 'expr_id')}) USING (expr_id)", *base,
+            f"(SELECT expression, string_agg(optimizer, '+' ORDER BY optimizer) AS selected_by, min(expr_id) AS expr_id FROM best GROUP BY 1) JOIN ({_metrics(f'(SELECT * FROM days WHERE d_idx > {_LAST})', 'expr_id')}) USING (expr_id)", *base,
         ),
         "power_verdict": _sql(
             "*",

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.operators.features import histogram, label, parsed
+from sigloom.operators.features import exposed, histogram, label, parsed
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -16,15 +17,26 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """A small result, computed once and kept in the shared checkpoint folder, so that plans built on it stay small."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, else the context's own, else (on one machine) a new one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """A result, computed once and kept as a table in the shared folder, so that plans built on it stay small; it goes with the session."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/study-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def append_batches(make, draws: list, path: str, every: int = 50) -> None:
@@ -35,6 +47,28 @@ def append_batches(make, draws: list, path: str, every: int = 50) -> None:
         make(draws[at : at + every]).write.mode("append" if at else "overwrite").parquet(path)
 
 
+DATASETS = {"combined": "trajectory_combined.parquet", "random": "trajectory.parquet", "bayesian": "trajectory_bayesian.parquet"}  # fixed names
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def available(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The search logs that are there, by name."""
+    return {name: f"{folder}/{file}" for name, file in DATASETS.items() if _exists(spark, f"{folder}/{file}")}
+
+
+def read_trajectory(spark: SparkSession, folder: str, dataset: str | None = None) -> DataFrame:
+    """A search log with its expressions' fields as columns: the one asked for, else the combined one, else the random one."""
+    there = available(spark, folder)
+    name = dataset or ("combined" if "combined" in there else "random")
+    if name not in there:
+        raise FileNotFoundError(f"no log {name!r} in {folder}; there are {sorted(there)}")
+    return exposed(spark.read.parquet(there[name]))
+
+
 def write_text(text: str, path: str) -> None:
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)

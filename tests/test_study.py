@@ -260,3 +260,69 @@ def test_stream_scores_each_arrival(spark, tmp_path):
         one(d).write.mode("append").parquet(src)
         forward_stream(spark, src, str(tmp_path / "history"), lambda bars: bars.groupBy("ticker").count(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).first()["count"] == k + 1
+
+
+def test_equal_expressions_are_one_however_they_are_written(spark):
+    rows = [("random", 0, 2.0, '{"primitive": "momentum", "lookback": 5, "normalize_by": null}'), ("bayesian", 1, 1.0, '{"lookback":5,"normalize_by":null,"primitive":"momentum"}')]
+    best = A.winners(spark.createDataFrame(rows, "optimizer string, iteration long, sharpe double, expression string"))
+    assert [r.winner_expression_duplicated for r in best.collect()] == [True, True]
+    assert [(r.optimizer) for r in A.frozen(best).collect()] == ["bayesian+random"]
+
+
+def test_a_backtest_without_common_cells_is_an_error(spark):
+    signals_ = spark.createDataFrame([(0, 1, "A", 1.0)], "expr_id int, d_idx int, ticker string, signal double")
+    forward = spark.createDataFrame([(1, "B", 0.1)], "d_idx int, ticker string, fwd double")
+    with pytest.raises(ValueError):
+        B.aligned(signals_, forward)
+    assert B.aligned(signals_, forward.withColumn("ticker", F.lit("A"))).count() == 1
+
+
+def test_a_forward_panel_reaches_back_and_stays_apart(spark, tmp_path):
+    from datetime import date, timedelta
+
+    end, asked = date(2024, 1, 10), []
+    day = lambda k: end + timedelta(days=k)
+    bars = spark.createDataFrame([(day(k), t, 10.0 + k % 7, 5.0) for k in range(-800, 20, 4) for t in "AB"], "date date, ticker string, close double, volume double")
+    study = P.build_panel(bars.where(F.col("date") <= F.lit(end)))
+    last = study.agg(F.max("date")).first()[0]
+
+    def source(start, stop):
+        asked.append((start, stop))
+        return bars
+
+    got = A.refresh_forward(study, source, f"{tmp_path}/forward", day(15))
+    low, high = got.agg(F.min("date"), F.max("date")).first()
+    assert asked == [(last - timedelta(days=730), day(15))] and low >= asked[0][0] and last < high <= day(15)
+    with pytest.raises(ValueError):
+        A.refresh_forward(study, source, f"{tmp_path}/other", last)
+
+
+def test_logs_are_found_by_name_with_a_fall_back(spark, tmp_path):
+    from sigloom.sources.results import available, read_trajectory
+
+    row = lambda name: spark.createDataFrame([(0, name, '{"primitive": "momentum", "lookback": 5}', 1.0)], "iteration long, optimizer string, expression string, sharpe double")
+    with pytest.raises(FileNotFoundError):
+        read_trajectory(spark, str(tmp_path))
+    row("random").write.parquet(f"{tmp_path}/trajectory.parquet")
+    assert read_trajectory(spark, str(tmp_path)).first().row_id == "random:0"
+    row("bayesian").write.parquet(f"{tmp_path}/trajectory_combined.parquet")
+    assert sorted(available(spark, str(tmp_path))) == ["combined", "random"] and read_trajectory(spark, str(tmp_path)).first().optimizer == "bayesian"
+    assert read_trajectory(spark, str(tmp_path), "random").first().expression_label == "momentum (5)"
+    from sigloom.operators.features import by_row_id
+
+    both = read_trajectory(spark, str(tmp_path))
+    assert by_row_id(both, "bayesian:0").count() == 1 and by_row_id(both, "bayesian:1").count() == 0
+
+
+def test_timing_has_a_row_for_each_length(spark):
+    got = A.timing_check(lambda n: spark.range(n))
+    assert [r["iterations"] for r in got] == [5, 10, 20] and all(abs(r["seconds"] - r["seconds_per_iteration"] * r["iterations"]) < 1e-9 for r in got)
+
+
+def test_many_expressions_are_shuffled_by_expression_and_give_the_same(spark, monkeypatch):
+    panel, _ = make_panel(spark)
+    asked = [Expression("momentum", 5), Expression("volatility", 10, normalize_lookback=5), Expression("ma_crossover", None, 5, 40)]
+    few = sorted(map(str, A.evaluate(panel, asked, 3).select("expr_id", "d_idx", F.round("port_ret", 9), F.round("ic", 9)).collect()))
+    monkeypatch.setattr(A, "MANY", 2)
+    many = A.evaluate(panel, asked, 3)
+    assert few == sorted(map(str, many.select("expr_id", "d_idx", F.round("port_ret", 9), F.round("ic", 9)).collect()))
