@@ -4,8 +4,9 @@ Vectors are scaled to length 1, where cosine >= c is distance <= sqrt(2 - 2c).
 Equal vectors form a class of which one takes part.  The tree's top is built on
 the driver from a bounded sample: centres in farthest-first order, whose
 covering radii halve as centres are added.  Each vector joins its nearest
-centre's cell; cells are dealt into blocks of bounded size, and each block gets
-the lower levels of its tree: nested nodes whose radii halve from level to level.
+centre's cell; cells are dealt into blocks of bounded size.  Each block is a
+cover tree, built once: nested levels whose radii halve, with separated centres
+that cover every point (see ``CoverTree``).
 
 Two cells, two blocks or two nodes are compared only if their centres are no
 farther apart than both covering radii and the threshold.  Where nodes can't be
@@ -58,65 +59,95 @@ def farthest_first(x: np.ndarray, count: int, stop: float = 0.0) -> list[int]:
     return picked
 
 
+NODE = np.dtype([("level", "<i4"), ("centre", "<i4"), ("radius", "<f8"), ("start", "<i4"), ("end", "<i4"), ("first", "<i4"), ("children", "<i4")])
+
+
+def greedy(x: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points in farthest-first order from point 0, as far as they are farther than ``stop`` from all before, and those distances."""
+    order, far, apart = [0], np.linalg.norm(x - x[0], axis=1), [math.inf]
+    while True:
+        k = int(far.argmax())
+        if far[k] <= stop:
+            return np.array(order), np.array(apart)
+        order.append(k)
+        apart.append(float(far[k]))
+        np.minimum(far, np.linalg.norm(x - x[k], axis=1), out=far)
+
+
 class CoverTree:
-    """Nodes of a block, each with a centre, a covering radius, a run of points and its children."""
-
-    def __init__(self, x: np.ndarray, leaf: int = LEAF) -> None:
-        self.order = np.arange(len(x))
-        self.centre: list[np.ndarray] = []
-        self.radius: list[float] = []
-        self.run: list[tuple[int, int]] = []
-        self.children: list[list[int]] = []
-        self._grow(x, 0, len(x), x[0], 2.0, leaf)
-        self.x = x[self.order]
-
-    def _grow(self, x: np.ndarray, at: int, to: int, centre: np.ndarray, level: float, leaf: int) -> int:
-        points = x[self.order[at:to]]
-        node = len(self.centre)
-        self.centre.append(centre)
-        self.radius.append(float(np.linalg.norm(points - centre, axis=1).max()))
-        self.run.append((at, to))
-        self.children.append([])
-        # A radius that needs no cover of its level is skipped to the level below it.
-        while level / 2 >= self.radius[node] > 0:
-            level /= 2
-        if to - at > leaf and self.radius[node] > 0:
-            picked = farthest_first(points, 32, level / 2)
-            if len(picked) > 1:
-                near = (points @ points[picked].T).argmax(axis=1)
-                order = np.argsort(near, kind="stable")
-                self.order[at:to] = self.order[at:to][order]
-                bounds = np.searchsorted(near[order], np.arange(len(picked) + 1))
-                spans = [(at + int(a), at + int(b), points[k]) for a, b, k in zip(bounds, bounds[1:], picked, strict=False) if b > a]
-            else:
-                half = (at + to) // 2
-                spans = [(at, half, centre), (half, to, centre)]
-            small: list[tuple[int, int, np.ndarray]] = []
-            for a, b, c in spans:
-                # Neighbouring small children share a node, so leaves stay worth a matrix product.
-                if small and b - small[0][0] > leaf:
-                    self.children[node].append(self._grow(x, small[0][0], small[-1][1], small[0][2], level / 2, leaf))
-                    small = []
-                if b - a > leaf // 2:
-                    if small:
-                        self.children[node].append(self._grow(x, small[0][0], small[-1][1], small[0][2], level / 2, leaf))
-                        small = []
-                    self.children[node].append(self._grow(x, a, b, c, level / 2, leaf))
-                else:
-                    small.append((a, b, c))
-            if small:
-                self.children[node].append(self._grow(x, small[0][0], small[-1][1], small[0][2], level / 2, leaf))
-        return node
+    """The cover tree of a block of vectors of length 1.
+
+    Level ``i`` has the radius ``2 ** (1 - i)``.  Its centres are the points that
+    farthest-first order reaches before that radius: they are farther than the
+    radius from each other (separation), every point is within the radius of
+    one (covering), and they are centres of all levels below (nesting).  A
+    centre's parent is the nearest centre of the level above, itself if it is
+    one.  Points are ordered so that every node is a run of them; levels at
+    which a node has one child only are left out; a node whose children would be
+    too small to be worth a matrix product is a leaf.  ``radius`` of a node is
+    the measured distance to its farthest point, at most twice its level's.
+    """
+
+    def __init__(self, x: np.ndarray, nodes: np.ndarray, order: np.ndarray | None = None) -> None:
+        self.x, self.nodes, self.order = x, nodes, order
+        self.kids = [range(n["first"], n["first"] + n["children"]) for n in nodes]
+        self.radius = nodes["radius"].tolist()
+        self.run = list(zip(nodes["start"].tolist(), nodes["end"].tolist(), strict=True))
+
+    @staticmethod
+    def levels(x: np.ndarray, finest: float) -> tuple[np.ndarray, list[int]]:
+        """The greedy order, and how many of its first points are the centres of each level, down to the radius ``finest``."""
+        order, apart = greedy(x, finest)
+        counts, radius = [], 2.0
+        while radius > finest / 2:
+            counts.append(int((apart > max(radius, finest)).sum()))
+            radius /= 2
+        return order, counts
+
+    @classmethod
+    def of(cls, x: np.ndarray, finest: float = 0.1, leaf: int = LEAF) -> CoverTree:
+        order, counts = cls.levels(x, finest)
+        # The centre of every point at every level, from the finest up: places in the greedy order.
+        own = (x @ x[order].T).argmax(axis=1)
+        own[order] = np.arange(len(order))
+        above = [own]
+        for more, fewer in zip(counts[:0:-1], counts[-2::-1], strict=True):
+            up = np.arange(more)
+            if more > fewer:
+                up[fewer:] = (x[order[fewer:more]] @ x[order[:fewer]].T).argmax(axis=1)
+            above.append(up[above[-1]])
+        paths = np.stack(above[::-1])  # a row a level
+        rows = np.lexsort(paths[::-1])
+        x, paths = x[rows], paths[:, rows]
+        place = np.empty(len(rows), np.int64)
+        place[rows] = np.arange(len(rows))
+        nodes, todo = [[0, 0, 0.0, 0, len(x), 0, 0]], [0]
+        for k in todo:  # grows while it is gone through: a node's children lie side by side
+            level, _, _, start, end, _, _ = nodes[k]
+            level = next((i for i in range(level, len(paths)) if (paths[i, start:end] != paths[i, start]).any()), len(paths)) - 1
+            centre = int(place[order[paths[max(level, 0), start]]])
+            nodes[k][:3] = [level, centre, float(np.linalg.norm(x[start:end] - x[centre], axis=1).max())]
+            if end - start <= leaf or level + 1 >= len(paths):
+                continue
+            edges = start + 1 + np.flatnonzero(np.diff(paths[level + 1, start:end]))
+            if (len(edges) + 1) * (leaf // 4) > end - start:
+                continue
+            nodes[k][5:] = [len(nodes), len(edges) + 1]
+            for a, b in zip([start, *edges.tolist()], [*edges.tolist(), end], strict=True):
+                todo.append(len(nodes))
+                nodes.append([level + 1, 0, 0.0, a, b, 0, 0])
+        return cls(x, np.array([tuple(n) for n in nodes], NODE), rows)
 
 
 def near_nodes(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[int, int]]:
     """Pairs of leaves that may hold points within ``reach``; of one tree with itself, each pair once."""
     same, todo = a is b, [(0, 0)]
+    ca, cb = a.x[a.nodes["centre"]], b.x[b.nodes["centre"]]
     while todo:
         i, j = todo.pop()
-        if np.linalg.norm(a.centre[i] - b.centre[j]) > a.radius[i] + b.radius[j] + reach + 1e-9 and not (same and i == j):
+        if not (same and i == j) and np.linalg.norm(ca[i] - cb[j]) > a.radius[i] + b.radius[j] + reach + 1e-9:
             continue
-        left, right = a.children[i], b.children[j]
+        left, right = a.kids[i], b.kids[j]
         if not left and not right:
             yield i, j
         elif same and i == j:
@@ -204,19 +235,20 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     parts = spark.createDataFrame([(c.d, c.cell, -(-c.rows // BLOCK)) for c in cells], "d int, cell int, parts int")
 
     def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(rows.x), np.float64).reshape(len(rows), -1)
-        centre = unit(x.mean(axis=0, keepdims=True) + 1e-12)[0]
-        radius = float(np.linalg.norm(x - centre, axis=1).max())
-        return pd.DataFrame({"d": [key[0]], "cell": [key[1]], "part": [key[2]], "centre": [_packed(centre)], "radius": [radius], "reps": [_packed(rows.rep.to_numpy(np.int64))], "ns": [_packed(rows.n.to_numpy(np.int64))], "xs": [_packed(x)]})
+        rows = rows.sort_values("rep")  # the same tree however rows arrive
+        tree = CoverTree.of(np.frombuffer(b"".join(rows.x), np.float64).reshape(len(rows), -1), reach / 4)
+        reps, ns = (rows[c].to_numpy(np.int64)[tree.order] for c in ("rep", "n"))
+        root = tree.nodes[0]
+        return pd.DataFrame({"d": [key[0]], "cell": [key[1]], "part": [key[2]], "centre": [_packed(tree.x[root["centre"]])], "radius": [float(root["radius"])], "reps": [_packed(reps)], "ns": [_packed(ns)], "xs": [_packed(tree.x)], "nodes": [tree.nodes.tobytes()]})
 
     # Blocks are bounded: a cell of many vectors is dealt into as many blocks as it needs.
     dealt = placed.join(F.broadcast(parts), ["d", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     blocks = space.cut(
-        dealt.groupBy("d", "cell", "part").applyInPandas(block, "d int, cell int, part int, centre binary, radius double, reps binary, ns binary, xs binary"), "blocks"
+        dealt.groupBy("d", "cell", "part").applyInPandas(block, "d int, cell int, part int, centre binary, radius double, reps binary, ns binary, xs binary, nodes binary"), "blocks"
     )
     near = spark.createDataFrame(pairs, "d int, ca int, cb int")
-    mine = blocks.select("d", F.col("cell").alias("ca"), F.col("part").alias("pa"), F.struct("centre", "radius", "reps", "ns", "xs").alias("a"))
-    theirs = blocks.select("d", F.col("cell").alias("cb"), F.col("part").alias("pb"), F.struct("centre", "radius", "reps", "ns", "xs").alias("b"))
+    mine = blocks.select("d", F.col("cell").alias("ca"), F.col("part").alias("pa"), F.struct("centre", "radius", "reps", "ns", "xs", "nodes").alias("a"))
+    theirs = blocks.select("d", F.col("cell").alias("cb"), F.col("part").alias("pb"), F.struct("centre", "radius", "reps", "ns", "xs", "nodes").alias("b"))
     once = (F.col("ca") != F.col("cb")) | (F.col("pa") <= F.col("pb"))
     # Blocks meet by keys of their own first, the vectors follow by the pair of keys.
     which = near.join(mine.select("d", "ca", "pa"), ["d", "ca"]).join(theirs.select("d", "cb", "pb"), ["d", "cb"]).where(once)
@@ -232,10 +264,9 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
                 ids, ns, trees = [], [], []
                 for side in (a, b):
                     own = np.frombuffer(side["reps"], np.int64)
-                    tree = CoverTree(np.frombuffer(side["xs"], np.float64).reshape(len(own), -1))
-                    ids.append(own[tree.order])
-                    ns.append(np.frombuffer(side["ns"], np.int64)[tree.order])
-                    trees.append(tree)
+                    ids.append(own)
+                    ns.append(np.frombuffer(side["ns"], np.int64))
+                    trees.append(CoverTree(np.frombuffer(side["xs"], np.float64).reshape(len(own), -1), np.frombuffer(side["nodes"], NODE)))
                     if a["reps"] == b["reps"]:
                         trees, ids, ns = trees * 2, ids * 2, ns * 2
                         break

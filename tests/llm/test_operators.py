@@ -19,7 +19,8 @@ from sigloom.llm import quality_rules as qr
 from sigloom.llm import pieces
 from sigloom.llm.byte_bpe import BacktrackingBpe, read_ranks, round_trip
 from sigloom.llm.components import components, roots
-from sigloom.llm.embedding_dedup import embedding_dedup
+from sigloom.llm import embedding_dedup as ed
+from sigloom.llm.embedding_dedup import CoverTree, embedding_dedup, near_nodes, unit
 from sigloom.llm.language_id import Profiles, gram_counts, language_id, profile
 from sigloom.llm.library_bpe import LibraryEncoder
 from sigloom.llm.license_scan import license_scan
@@ -593,3 +594,61 @@ def test_language_query_equals_a_plain_one(spark):
         far = {lang: sum(abs(place[g] - k) if g in place else 300 for k, g in enumerate(own)) for lang, place in ranks.items()}
         best = min(sorted(far), key=far.get) if own else "und"
         assert got.lang_pred == best and abs(got.score - (1 - far[best] / (300 * len(own)) if own else 0)) < 1e-12
+
+
+def clustered_vectors(seed, n, d=8, clusters=9, noise=0.15):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, d))
+    return unit(np.concatenate([centres[rng.integers(0, clusters, n // 2)] + rng.normal(scale=noise, size=(n // 2, d)), rng.normal(size=(n - n // 2, d))]))
+
+
+def test_cover_trees_are_nested_cover_and_separate():
+    for seed, finest in ((1, 0.1), (2, 0.02), (3, 0.5)):
+        x = clustered_vectors(seed, 600)
+        order, counts = CoverTree.levels(x, finest)
+        assert counts[0] == 1 and counts == sorted(counts)  # prefixes of one order: nested
+        for i, m in enumerate(counts):
+            radius, far = max(2.0 ** (1 - i), finest), np.linalg.norm(x[:, None] - x[order[:m]][None], axis=2)
+            assert far.min(axis=1).max() <= radius + 1e-12  # covering
+            between = far[order[:m]]
+            assert m == 1 or between[~np.eye(m, dtype=bool)].min() > radius  # separation
+        tree = CoverTree.of(x, finest, leaf=8)
+        assert sorted(tree.order.tolist()) == list(range(600)) and np.allclose(tree.x, x[tree.order])
+        for k, node in enumerate(tree.nodes):
+            start, end = tree.run[k]
+            own = np.linalg.norm(tree.x[start:end] - tree.x[node["centre"]], axis=1)
+            assert abs(own.max() - node["radius"]) < 1e-12 and node["radius"] <= 2 * 2.0 ** (1 - node["level"]) + 1e-9 and start <= node["centre"] < end
+            kids = tree.kids[k]
+            if kids:
+                assert tree.run[kids[0]][0] == start and tree.run[kids[-1]][1] == end and all(tree.run[a][1] == tree.run[b][0] for a, b in zip(kids, kids[1:], strict=False))
+                assert node["centre"] in {tree.nodes[c]["centre"] for c in kids}  # a centre is its own child
+
+
+def test_dual_traversal_meets_every_near_pair():
+    a, b = (CoverTree.of(clustered_vectors(s, 500), 0.05, leaf=6) for s in (5, 5))
+    c = CoverTree.of(clustered_vectors(5, 300)[::-1].copy(), 0.05, leaf=6)
+    for p, q in ((a, a), (a, c)):
+        near, seen = p.x @ q.x.T >= 0.9, np.zeros((len(p.x), len(q.x)), int)
+        pairs = list(near_nodes(p, q, np.sqrt(0.2)))
+        for i, j in pairs:
+            (s, e), (u, v) = p.run[i], q.run[j]
+            seen[s:e, u:v] += 1
+            if p is q and i != j:
+                seen[u:v, s:e] += 1
+        assert (seen[near] == 1).all() and seen.max() == 1 and seen.mean() < 0.9
+    assert (a.nodes == b.nodes).all()
+
+
+def test_embeddings_in_many_cells_and_blocks_equal_brute_force(spark, monkeypatch):
+    for name, value in (("BLOCK", 40), ("CELLS", 5), ("LEAF", 6), ("SAMPLE", 100)):
+        monkeypatch.setattr(ed, name, value)
+    x = clustered_vectors(7, 700)
+    # Columns that clash with names inside, and one vector many times over.
+    rows = [(k, v.tolist(), 1, 2.0, 3, "c") for k, v in enumerate(np.concatenate([x, np.repeat(x[:1], 120, axis=0)]))]
+    got = {r.vec_id: r for r in embedding_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int, x double, cell int, d string")).collect()}
+    every = unit(np.array([r[1] for r in rows]))
+    near = every @ every.T >= 0.9
+    np.fill_diagonal(near, False)
+    nodes, least = roots(*np.nonzero(np.triu(near)))
+    want = {k: k for k in range(len(rows))} | dict(zip(nodes.tolist(), least.tolist(), strict=True))
+    assert all(got[k].n_links == near[k].sum() and got[k].component_id == want[k] for k in range(len(rows)))
