@@ -1,14 +1,16 @@
 """Licences of files: their headers and licence files against templates, then inheritance by directory.
 
-Statements (header lines that name a licence, and whole files called LICENSE or
-the like) become sparse TF-IDF vectors; the cosine to each template is a join
-on tokens.  Besides, an SPDX identifier, or the passages that a standard header
-block or licence text is known by, state their licence with similarity 1; they
-are looked for in the whole text, wherever lines break and whatever comment
-signs stand between.  The best of all above a threshold is the file's own licence.  A
-directory's licence is that of its licence file.  A file without one of its own
-takes that of its nearest ancestor directory: the distinct directories are
-exploded into their ancestors and joined with the licensed ones by path.
+Statements become sparse TF-IDF vectors, and the cosine to each template is a
+join on tokens.  A file's statements are its lines that name a licence, its
+paragraphs that do (header blocks; comment signs alone on a line end one), all
+from the first such line to the last, and each SPDX tag; of a file called
+LICENSE or the like also every paragraph and the whole.  Templates are notices,
+titles, header blocks, bodies and SPDX tags; a token's weight falls with the
+number of licences that have it.  The best of all cosines above a threshold is
+the file's own licence.  A directory's licence is that of its licence file.  A
+file without one of its own takes that of its nearest ancestor directory: the
+distinct directories are exploded into their ancestors and joined with the
+licensed ones by path.
 
 All of it is built-in functions.  The tables that are broadcast are the
 templates' (their number is fixed here).  Joins of files with directories are
@@ -47,44 +49,72 @@ TEMPLATES = (
     ("MPL-2.0", "subject to the terms of the mozilla public license version 2.0"),
     ("Unlicense", "released into the public domain under the unlicense"),
 )
-#: Passages of standard header blocks and licence texts: licence, a passage it has, one that it must not have (or none).
-PASSAGES = (
-    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007", ""),
-    ("AGPL-3.0", "gnu affero general public license as published by the free software foundation either version 3", ""),
-    ("AGPL-3.0", "gnu affero general public license version 3 as published by", ""),
-    ("Apache-2.0", "apache license version 2 0 january 2004", ""),
-    ("Apache-2.0", "licensed under the apache license version 2 0 the license", ""),
-    ("BSD-2-Clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "be used to endorse or promote products derived from"),
-    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission", "all advertising materials mentioning features"),
-    ("CC-BY-4.0", "creative commons attribution 4 0 international", ""),
-    ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4 0 international", ""),
-    ("CC-BY-SA-4.0", "creative commons attribution sharealike 4 0 international", ""),
-    ("CC0-1.0", "cc0 1 0 universal", ""),
-    ("GPL-2.0", "gnu general public license version 2 june 1991", ""),
-    ("GPL-2.0", "gnu general public license as published by the free software foundation either version 2", ""),
-    ("GPL-2.0", "gnu general public license version 2 as published by", ""),
-    ("GPL-2.0", "gnu general public license as published by the free software foundation version 2", ""),
-    ("GPL-3.0", "gnu general public license version 3 29 june 2007", ""),
-    ("GPL-3.0", "gnu general public license as published by the free software foundation either version 3", ""),
-    ("GPL-3.0", "gnu general public license version 3 as published by", ""),
-    ("GPL-3.0", "gnu general public license as published by the free software foundation version 3", ""),
-    ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", ""),
-    ("ISC", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", ""),
-    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007", ""),
-    ("LGPL-3.0", "gnu lesser general public license as published by the free software foundation either version 3", ""),
-    ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ""),
-    ("MPL-2.0", "mozilla public license version 2 0 1 definitions", ""),
-    ("MPL-2.0", "subject to the terms of the mozilla public license v 2 0", ""),
-    ("Unlicense", "this is free and unencumbered software released into the public domain", ""),
+#: Titles, header blocks, telling paragraphs and bodies of standard texts; fixed values.
+TEXTS = (
+    ("AGPL-3.0", "gnu affero general public license version 3, 19 november 2007"),
+    ("AGPL-3.0", "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version."),
+    ("AGPL-3.0", "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license version 3 as published by the free software foundation."),
+    ("Apache-2.0", "apache license version 2.0, january 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "licensed under the apache license, version 2.0 (the license); you may not use this file except in compliance with the license. you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0"),
+    ("BSD-2-Clause", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {source} {binary}"),
+    ("BSD-2-Clause", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {source} {binary} {bsd}"),
+    ("BSD-3-Clause", "{neither}"),
+    ("BSD-3-Clause", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {source} {binary} {neither}"),
+    ("BSD-3-Clause", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {source} {binary} {neither} {bsd}"),
+    ("CC-BY-4.0", "attribution 4.0 international"),
+    ("CC-BY-4.0", "creative commons attribution 4.0 international public license"),
+    ("CC-BY-NC-4.0", "attribution-noncommercial 4.0 international"),
+    ("CC-BY-NC-4.0", "creative commons attribution-noncommercial 4.0 international public license"),
+    ("CC-BY-SA-4.0", "attribution-sharealike 4.0 international"),
+    ("CC-BY-SA-4.0", "creative commons attribution-sharealike 4.0 international public license"),
+    ("CC0-1.0", "cc0 1.0 universal"),
+    ("CC0-1.0", "creative commons legal code cc0 1.0 universal"),
+    ("GPL-2.0", "gnu general public license version 2, june 1991"),
+    ("GPL-2.0", "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version."),
+    ("GPL-2.0", "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license version 2 as published by the free software foundation."),
+    ("GPL-3.0", "gnu general public license version 3, 29 june 2007"),
+    ("GPL-3.0", "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version."),
+    ("GPL-3.0", "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license version 3 as published by the free software foundation."),
+    ("ISC", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {isc}"),
+    ("LGPL-3.0", "gnu lesser general public license version 3, 29 june 2007"),
+    ("LGPL-3.0", "this library is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version."),
+    ("LGPL-3.0", "this program is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version."),
+    ("MIT", "the mit license (mit)"),
+    ("MIT", "{grant}"),
+    ("MIT", "{grant} {notice} {mit}"),
+    ("MPL-2.0", "mozilla public license version 2.0"),
+    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/mpl/2.0/."),
+    ("Unlicense", "this is free and unencumbered software released into the public domain."),
+    ("Unlicense", "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
-#: An SPDX tag; of an expression the first identifier counts.  ``-only``, ``-or-later`` and ``+`` don't tell licences apart.
-SPDX, SPDX_END = r"(?i)spdx-license-identifier:[\s(]*([a-z0-9.+-]+)", r"(-only|-or-later|\+)$"
+#: Parts that several of the texts have; fixed values.
+PARTS = {
+    "grant": "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions:",
+    "notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software.",
+    "mit": "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "source": "1. redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "binary": "2. redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "neither": "3. neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd": "this software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    "isc": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. in no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+}
+#: An SPDX tag, a statement of its own; of an expression it is the first identifier.
+SPDX = r"(?i)spdx-license-identifier:[ \t(]*[a-z0-9.+-]+"
+#: What ends a paragraph: lines without a letter or digit.
+PARAGRAPH = r"\n[^\p{L}\p{N}]*\n"
 #: A token: a run of letters and digits, with dots, pluses and hyphens inside.
 TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
 
+def templates() -> list[tuple[str, str]]:
+    """Licence and text of every template: notices, standard texts, and the SPDX tags made from the licences' names."""
+    tags = [(name, f"spdx-license-identifier: {name}{end}".lower()) for name, _ in TEMPLATES for end in (("", "-only", "-or-later") if "GPL" in name else ("",))]
+    return [*TEMPLATES, *((name, text.format(**PARTS)) for name, text in TEXTS), *tags]
+
+
 def _values() -> str:
-    return ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES)
+    return ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(templates()))
 
 
 def _tokens(text: Column) -> Column:
@@ -92,50 +122,44 @@ def _tokens(text: Column) -> Column:
 
 
 def _weights(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """idf of the templates' tokens, and each template's weights, scaled to length 1."""
-    found = spark.sql(f"SELECT * FROM VALUES {_values()} AS t(license, body)").select("license", F.explode(_tokens(F.col("body"))).alias("token"))
-    tf = found.groupBy("license", "token").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("token").agg((F.log((1 + len(TEMPLATES)) / (1 + F.count("*"))) + 1).alias("idf"))
-    weight = tf.join(idf, "token").select("license", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    length = weight.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return idf, weight.join(length, "license").select("license", "token", (F.col("w") / F.col("length")).alias("w"))
-
-
-def _passage(words: str) -> str:
-    """A pattern of the words with anything but letters and digits between them."""
-    return r"(?i)\b" + "[^a-z0-9]+".join(words.split()) + r"\b"
-
-
-def _standard(text: Column) -> Column:
-    """The licences whose SPDX identifier or passages are in a text."""
-    found = [F.when(text.rlike(_passage(has)) & ~text.rlike(_passage(lacks)) if lacks else text.rlike(_passage(has)), F.lit(name)) for name, has, lacks in PASSAGES]
-    named = F.create_map(*(F.lit(x) for name, _ in TEMPLATES for x in (name.lower(), name)))
-    tags = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda x: named[F.regexp_replace(F.lower(x), SPDX_END, "")])
-    return F.array_compact(F.array_distinct(F.concat(F.array(*found), tags)))
+    """idf of the templates' tokens by the licences that have them, and each template's weights, scaled to length 1."""
+    found = spark.sql(f"SELECT * FROM VALUES {_values()} AS t(template, license, body)").select("template", "license", F.explode(_tokens(F.col("body"))).alias("token"))
+    tf = found.groupBy("template", "license", "token").agg(F.count("*").alias("tf"))
+    idf = tf.groupBy("token").agg((F.log((1 + len(TEMPLATES)) / (1 + F.countDistinct("license"))) + 1).alias("idf"))
+    weight = tf.join(idf, "token").select("template", "license", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    length = weight.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return idf, weight.join(length, "template").select("template", "license", "token", (F.col("w") / F.col("length")).alias("w"))
+
+
+def _statements(text: Column, named: Column) -> Column:
+    """The distinct statements of a text that has an anchor or, if ``named``, is a licence file."""
+    lines = F.split(text, "\n")
+    hits = F.transform(lines, lambda line: line.rlike(ANCHOR))
+    first, after = F.array_position(hits, True), F.size(lines) - F.array_position(F.reverse(hits), True) + 2
+    span = F.when(named, text).when(first > 0, F.array_join(F.slice(lines, first.cast("int"), (after - first).cast("int")), "\n"))
+    paragraphs = F.filter(F.split(text, PARAGRAPH), lambda block: named | block.rlike(ANCHOR))
+    tags = F.regexp_extract_all(text, F.lit(SPDX), F.lit(0))
+    return F.array_distinct(F.array_compact(F.concat(F.filter(lines, lambda line: line.rlike(ANCHOR)), paragraphs, tags, F.array(span))))
 
 
 def own_licenses(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """path, license and similarity of files (path, text) that state one; equal cosines go to the first name.
 
-    Texts are scanned once: lines that name a licence, and the licences known
-    by identifiers and passages, are written as a table of their own.
+    Texts are scanned once, for the statements' tokens, which are written as a
+    table of their own.
     """
     space = Workspace(spark, "licences")
-    named, anchored = F.col("path").rlike(LICENSE_FILE), F.col("text").rlike(ANCHOR)
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(ANCHOR))
-    bodies = F.concat(lines, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))
-    standard = F.when(anchored, _standard(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    stated = space.cut(files.where(anchored | named).select("path", bodies.alias("bodies"), standard.alias("standard")), "stated")
-    places = stated.select("path", F.posexplode("bodies").alias("place", "body"))
-    tf = space.cut(places.select("path", "place", F.explode(_tokens(F.col("body"))).alias("token")).groupBy("path", "place", "token").agg(F.count("*").alias("tf")), "tf")
+    named = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
+    stated = files.where(F.col("text").rlike(ANCHOR) | named).select("path", F.explode(_statements(F.col("text"), named)).alias("body"))
+    tokens = stated.select("path", F.md5("body").alias("place"), F.explode(_tokens(F.col("body"))).alias("token"))
+    tf = space.cut(tokens.groupBy("path", "place", "token").agg(F.count("*").alias("tf")), "tf")
     idf, weights = _weights(spark)
     unseen = F.log(F.lit(1.0 + len(TEMPLATES))) + 1
     mine = tf.join(F.broadcast(idf), "token", "left").select("path", "place", "token", (F.col("tf") * F.coalesce("idf", unseen)).alias("v"))
     length = mine.groupBy("path", "place").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
-    dots = mine.join(F.broadcast(weights), "token").groupBy("path", "place", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    dots = mine.join(F.broadcast(weights), "token").groupBy("path", "place", "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     cosine = dots.join(length, ["path", "place"]).select("path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
-    known = stated.select("path", F.explode("standard").alias("license"), F.lit(1.0).alias("similarity"))
-    best = cosine.unionByName(known).where(F.col("similarity") >= threshold).groupBy("path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
+    best = cosine.where(F.col("similarity") >= threshold).groupBy("path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
     return space.cut(best.select("path", "b.license", (-F.col("b.s")).alias("similarity")), "own")
 
 
@@ -184,18 +208,24 @@ def oracle(threshold: float = THRESHOLD) -> str:
     """DuckDB SQL of the query: documents at ``tree_path``, every stated licence counts for its directory."""
     return rf"""
     WITH files AS MATERIALIZED (
-      SELECT doc_id, text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(array_to_string(regexp_extract_all(doc_id::VARCHAR, '-?\d'), '/'), 'none') AS path FROM documents),
-    t AS (SELECT * FROM (VALUES {_values()}) AS t(license, body)),
-    tf AS (SELECT license, token, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS token FROM t) GROUP BY ALL),
-    idf AS (SELECT token, ln((1.0 + {len(TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY token),
-    w0 AS (SELECT license, token, tf * idf AS w FROM tf JOIN idf USING (token)),
-    w AS (SELECT license, token, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS w FROM w0),
-    stated AS (SELECT path, place, body FROM (SELECT path, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS place FROM files)
-               WHERE regexp_matches(body, '{ANCHOR}')),
-    f AS (SELECT path, place, token, count(*) AS tf FROM (SELECT path, place, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS token FROM stated) GROUP BY ALL),
-    v0 AS (SELECT path, place, token, tf * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS v FROM f LEFT JOIN idf USING (token)),
-    v AS (SELECT path, place, token, v / sqrt(sum(v * v) OVER (PARTITION BY path, place)) AS v FROM v0),
-    cosine AS (SELECT path, license, round(sum(v * w), 6) AS s FROM v JOIN w USING (token) GROUP BY path, place, license),
+      SELECT row_number() OVER () AS file, doc_id, text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(array_to_string(regexp_extract_all(doc_id::VARCHAR, '-?\d'), '/'), 'none') AS path FROM documents),
+    t AS (SELECT * FROM (VALUES {_values()}) AS t(template, license, body)),
+    tf AS (SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS token FROM t) GROUP BY ALL),
+    idf AS (SELECT token, ln((1.0 + {len(TEMPLATES)}) / (1 + count(DISTINCT license))) + 1 AS idf FROM tf GROUP BY token),
+    w0 AS (SELECT template, license, token, tf * idf AS w FROM tf JOIN idf USING (token)),
+    w AS (SELECT template, license, token, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS w FROM w0),
+    own_files AS (SELECT file, path, text FROM files WHERE regexp_matches(text, '{ANCHOR}')),
+    lines AS (SELECT file, path, place, body, regexp_matches(body, '{ANCHOR}') AS hit
+              FROM (SELECT file, path, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS place FROM own_files)),
+    spans AS (SELECT file, min(place) AS a, max(place) AS z FROM lines WHERE hit GROUP BY file),
+    stated AS (SELECT file, path, 'line' || place AS place, body FROM lines WHERE hit
+               UNION ALL SELECT file, path, 'span', body FROM lines JOIN spans USING (file) WHERE place BETWEEN a AND z
+               UNION ALL SELECT file, path, 'tag' || body, body FROM (SELECT DISTINCT file, path, unnest(regexp_extract_all(text, '{SPDX}')) AS body FROM own_files)
+               UNION ALL SELECT file, path, 'block' || md5(body), body FROM (SELECT DISTINCT file, path, unnest(regexp_split_to_array(text, '{PARAGRAPH}')) AS body FROM own_files) WHERE regexp_matches(body, '{ANCHOR}')),
+    f AS (SELECT file, path, place, token, count(*) AS tf FROM (SELECT file, path, place, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS token FROM stated) GROUP BY ALL),
+    v0 AS (SELECT file, path, place, token, tf * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS v FROM f LEFT JOIN idf USING (token)),
+    v AS (SELECT file, path, place, token, v / sqrt(sum(v * v) OVER (PARTITION BY file, place)) AS v FROM v0),
+    cosine AS (SELECT path, license, round(sum(v * w), 6) AS s FROM v JOIN w USING (token) GROUP BY file, path, place, template, license),
     own AS (SELECT path, license, s AS similarity FROM cosine WHERE s >= {threshold} QUALIFY row_number() OVER (PARTITION BY path ORDER BY s DESC, license) = 1),
     dirs AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM files),
     declared AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS ancestor, arg_min(license, path) AS given FROM own GROUP BY 1),

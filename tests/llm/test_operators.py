@@ -530,6 +530,27 @@ copyright notice and this permission notice appear in all copies."""
     assert got == {k: license for k, (_, license) in want.items()}
 
 
+def test_altered_licence_texts_state_their_licence_by_cosine(spark):
+    """Bodies with words altered, header blocks with lines broken elsewhere, tags within expressions; prose states none."""
+    from sigloom.llm.license_scan import PARTS
+
+    neither = PARTS["neither"].replace("the copyright holder", "Acme Corporation")
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    block = "/*\n * Copyright 2020 A. Body\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n *\n */\ncode\n\nx = 'licence'"
+    want = {
+        "a/LICENSE": ("\n\n".join(["My Project", "Copyright 2020 Acme", bsd, PARTS["source"], PARTS["binary"], neither, PARTS["bsd"]]), "BSD-3-Clause"),
+        "b/LICENSE": ("\n\n".join(["My Project", "Copyright 2020 Acme", bsd, PARTS["source"], PARTS["binary"], PARTS["bsd"].replace("copyright holder", "regents")]), "BSD-2-Clause"),
+        "c.h": ("\n".join(f"# {x}" for x in ["(c) Acme", "", PARTS["grant"].replace("the software", "this work"), "", PARTS["notice"], "", PARTS["mit"]]), "MIT"),
+        "d.c": (block, "Apache-2.0"),
+        "e.c": (block.replace("\n", "\r\n"), "Apache-2.0"),
+        "f.c": ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-2-Clause and other words that dilute the line a great deal", "GPL-2.0"),
+        "g.md": ("A long talk about copyright and the public domain.\nNobody was licensed to do anything.\n" + "the software is of the people and for the people " * 50 + "\nno licence", None),
+    }
+    files = spark.createDataFrame([(k, t) for k, (t, _) in want.items()] * 2, "path string, text string")
+    got = {r.path: r.license for r in license_scan(spark, files).collect()}
+    assert got == {k: license for k, (_, license) in want.items()}
+
+
 def test_license_query_on_awkward_documents(spark, tmp_path):
     """Null ids, slashes in a source, negative ids, ties, very long texts; against DuckDB on the same rows."""
     import duckdb
@@ -537,6 +558,7 @@ def test_license_query_on_awkward_documents(spark, tmp_path):
     tie = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
     rows = [(1, "Released under the MIT License.", "en", "a/b"), (12, "plain", "en", "a/b"), (None, "Licensed under the Apache License, Version 2.0.", None, "s"), (-5, "plain", "e/n", None), (5, tie, "e/n", None), (None, None, None, None)]
     rows += [(7, "word " * 100_000 + "\nReleased under the MIT License.", "en", "s"), (8, "", "en", "s"), (12, "plain", "en", "a/b")]
+    rows += [(9, "// SPDX-License-Identifier: (MIT OR ISC)", "en", "s"), (90, "Copyright 2020 A. Body\n\n * This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU General Public License\n * as published by the Free Software Foundation, either version 3\n *\n\nend, no licence", "en", "s")]
     spark.createDataFrame([(*r, 0) for r in rows], PLAIN).write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["op8_license_scan"](spark, str(tmp_path))
     db = duckdb.connect()
