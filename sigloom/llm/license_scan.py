@@ -151,7 +151,8 @@ def own_licenses(spark: SparkSession, files: DataFrame, threshold: float = THRES
     space = Workspace(spark, "licences")
     named = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
     stated = files.where(F.col("text").rlike(ANCHOR) | named).select("path", F.explode(_statements(F.col("text"), named)).alias("body"))
-    tokens = stated.select("path", F.md5("body").alias("place"), F.explode(_tokens(F.col("body"))).alias("token"))
+    # The digest is taken before tokens become rows; after it, every token of a long text would digest the whole of it.
+    tokens = stated.select("path", F.md5("body").alias("place"), _tokens(F.col("body")).alias("tokens")).select("path", "place", F.explode("tokens").alias("token"))
     tf = space.cut(tokens.groupBy("path", "place", "token").agg(F.count("*").alias("tf")), "tf")
     idf, weights = _weights(spark)
     unseen = F.log(F.lit(1.0 + len(TEMPLATES))) + 1
