@@ -41,6 +41,8 @@ BANDS, ROWS = 32, 5
 BLOCK = 512
 #: Documents that a rare shingle has at most; it only decides by which of two exact ways a pair is found.
 RARE = 64
+#: A bucket of more waiting documents than this is compared in tiles of two parts of about so many.
+TILE = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -228,10 +230,15 @@ def grouped(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     able = space.cut(told.join(least, "key").where(enough(F.col("common"), F.col("n"), other_n)).drop("least"), "able")
     apart = (F.col("component") != F.col("main")).alias("apart")
     side = lambda x, *more: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "common", *more)]
-    left, right = able.where("component <> main").select("key", *side("a", "far")), able.select("key", *side("b", "far"), apart)
+    # A crowded bucket is dealt to tasks by tiles: every pair of its documents lies in exactly one.
+    crowds = able.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    tiled = able.join(crowds, "key", "left").na.fill(1, ["tiles"]).withColumn("tile", F.pmod(F.hash("rep"), F.col("tiles")))
+    across = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left = tiled.where("component <> main").select("key", F.col("tile").alias("row"), across.alias("column"), *side("a", "far"))
+    right = tiled.select("key", across.alias("row"), F.col("tile").alias("column"), *side("b", "far"), apart)
     near = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9
     once = (F.col("component_a") != F.col("component_b")) & (~F.col("apart") | (F.col("rep_a") < F.col("rep_b")))
-    by_common = left.join(right, "key").where(once & near & enough(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b")))
+    by_common = left.join(right, ["key", "row", "column"]).where(once & near & enough(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b")))
 
     # All others need a shingle of few documents in common, so they are found by it.
     reps = told.groupBy("rep").agg(*(F.any_value(c).alias(c) for c in ("component", "n", "common", "rare")))

@@ -401,6 +401,28 @@ def test_groups_equal_brute_force(spark):
         assert all(r.n_shingles == len(sets[k]) and r.kept == (want[k] == k) for k, r in got.items())
 
 
+def test_crowded_buckets_in_tiles_equal_brute_force(spark, monkeypatch):
+    """Texts made from a template, so that buckets hold many components; tiles, blocks and rare shingles made small."""
+    from sigloom.llm import minhash_dedup as md
+
+    monkeypatch.setattr(md, "TILE", 4), monkeypatch.setattr(md, "BLOCK", 5), monkeypatch.setattr(md, "RARE", 2)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for _ in range(30):  # each form differs from the template by one to three words, each of its copies by none or one of another few
+        form = list(words)
+        for at in rng.sample(range(60), rng.randrange(1, 4)):
+            form[at] = f"x{rng.randrange(3)}"
+        for _ in range(5):
+            own = list(form)
+            if rng.random() < 0.7:
+                own[rng.randrange(60)] = f"y{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = {k: set(shingles(t, 3).tolist()) for k, t in rows}
+    got = {r.doc_id: r.component_id for r in md.minhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute(sets, 85) and 1 < len(set(got.values())) < len(rows)
+
+
 def test_repeated_rows_and_clashing_ids_lose_no_link(spark):
     """One bucket, whose centre (the smallest id) links with nothing; a and b link."""
     text = lambda seed, *parts: " ".join(f"{seed}w{k}" for p in parts for k in p)
