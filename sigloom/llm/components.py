@@ -4,8 +4,8 @@ Each task first joins its own links with union-find and passes on one link a
 node.  The rest are turned into stars by alternating two steps (each node links
 its larger neighbours to the smallest one; then its smaller ones likewise),
 which converges in a logarithmic number of rounds.  A round groups with
-partial sums and joins on the node, so a node with very many neighbours is
-split like any skewed join key.
+partial sums and joins on the node; a node with very many larger neighbours is
+dealt to parts (see ``hot_keys``); smaller ones it has few of, at first one a task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.hot_keys import copied, dealt, hot_keys
 from sigloom.llm.storage import Workspace, trimmed
 
 
@@ -60,12 +61,13 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """``links`` has u > v; so has the result."""
+def _star(links: DataFrame, large: bool, total: int = 0) -> DataFrame:
+    """``links`` has u > v, so has the result; ``total`` is at least the number of links."""
     if large:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # A node's larger neighbours go to its smallest one, or stay if it has none that is smaller.
+        hot = hot_keys(links.groupBy("v").agg(F.count("*").alias("n")), "v", total)
+        least = links.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        out = dealt(links, hot, "v", "u").join(copied(least, hot, "v"), ["v", "part"], "left").select("u", F.coalesce("m", "v").alias("v"))
     else:
         least = links.groupBy("u").agg(F.min("v").alias("m"))
         joined = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -89,6 +91,6 @@ def components(links: DataFrame, space: Workspace, name: str = "components") ->
         if at == before or not at[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before, k = at, k + 1
-        edges = space.cut(_star(_star(edges, True), False), f"{name}-{k}")
+        edges = space.cut(_star(_star(edges, True, at[0]), False), f"{name}-{k}")
         if k > 1:
             space.drop(f"{name}-{k - 2}")

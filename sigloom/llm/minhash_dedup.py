@@ -18,8 +18,8 @@
    centre may not differ by more than the allowed distance either.
 4. Components of confirmed links are found by union-find (see ``components``).
 
-Hot buckets: counts, centres and component bounds are partial aggregates; joins
-back to members are plain equi-joins, whose skewed keys Spark splits; a
+Hot buckets and centres: counts, centres and component bounds are partial
+aggregates; joins back to members are dealt by key and part (see ``hot_keys``); a
 centre's set goes to the tasks that compare it, once for each ``BLOCK`` members.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.components import components
+from sigloom.llm.hot_keys import copied, dealt, hot_keys
 from sigloom.llm.storage import Workspace, trimmed
 
 #: Bands, and rows of a band.  With 32 of 5, a pair of similarity 0.8 shares no bucket with probability 3e-6, one of 0.85 with 7e-9.
@@ -142,10 +143,13 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     The texts of ``b`` come to the text of ``a`` in groups of at most about
     ``BLOCK``; a task reads a group's ``a`` once and streams the rest.
+    ``pairs`` is a written table, as it is read more than once.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    hot = hot_keys(counts, "a", pairs.count())
+    sizes = counts.select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     left = sizes.join(texts, F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
-    placed = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
+    placed = dealt(pairs, hot, "a", "b").join(copied(sizes, hot, "a"), ["a", "part"]).select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
     right = placed.join(texts, F.col("b") == F.col("doc_id")).select("a", "block", "b", "text")
 
     @trimmed
@@ -190,11 +194,13 @@ def grouped(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
 
     # Buckets of two documents or more, each row with the number of documents that its document meets anywhere.
     rows_ = classes.select("rep", F.explode("keys").alias("key"))
-    shared = rows_.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = rows_.join(shared, "key").groupBy("rep").agg(F.sum("size").alias("met"), F.collect_list("key").alias("keys"))
-    members = space.cut(met.select("rep", "met", F.explode("keys").alias("key")), "members")
-    centres = members.groupBy("key").agg(F.max(F.struct("met", F.negative("rep").alias("rep"))).alias("c")).select("key", F.negative("c.rep").alias("centre"))
-    placed = space.cut(members.join(centres, "key").select("key", "rep", "centre"), "placed")
+    shared = space.cut(rows_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    hot = hot_keys(shared, "key", shared.agg(F.sum("n")).first()[0] or 0)
+    met = dealt(rows_, hot, "key", "rep").join(copied(shared, hot, "key"), ["key", "part"]).groupBy("rep").agg(F.sum("n").alias("met"), F.collect_list(F.struct("key", "part")).alias("keys"))
+    members = space.cut(met.select("rep", "met", F.inline("keys")), "members")
+    greatest = members.groupBy("key").agg(F.max(F.struct("met", F.negative("rep").alias("rep"))).alias("c"))
+    centres = space.cut(greatest.select("key", F.negative("c.rep").alias("centre")), "centres")
+    placed = space.cut(members.join(copied(centres, hot, "key"), ["key", "part"]).select("key", "part", "rep", "centre"), "placed")
 
     # One text a class, however often its row is repeated and whatever else has its doc_id.
     involved = placed.select("rep").distinct().join(classes, "rep").select("rep", "first.doc_id", "first.text_key")
@@ -202,19 +208,21 @@ def grouped(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     texts = space.cut(found.groupBy("doc_id", "text_key").agg(F.min("rep").alias("rep"), F.min("text").alias("text")).select(F.col("rep").alias("doc_id"), "text"), "texts")
 
     linked = F.col("both") * 100 >= F.col("all") * percent
-    stars = space.cut(confirm(placed.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), texts, width), "stars")
+    star_pairs = space.cut(placed.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
+    stars = space.cut(confirm(star_pairs, texts, width), "stars")
     first = components(stars.where(linked).select("a", "b"), space, "first")
 
     # Each member with its component, that of the centre, and its distance to the centre.
     far = stars.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("all")).alias("far"))
+    mains = centres.join(first.select(F.col("node").alias("centre"), "component"), "centre", "left").select("key", F.coalesce("component", "centre").alias("main"))
     known_by = (
         placed.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .join(first.select(F.col("node").alias("centre"), F.col("component").alias("main")), "centre", "left")
         .join(far, ["centre", "rep"])  # the centre itself has met everyone
-        .select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("main", "centre").alias("main"), "far")
+        .join(copied(mains, hot, "key"), ["key", "part"])
+        .select("key", "part", "rep", F.coalesce("component", "rep").alias("component"), "main", "far")
     )
     open_ = known_by.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    waiting = space.cut(known_by.join(open_, "key").join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"), "waiting")
+    waiting = space.cut(known_by.join(copied(open_, hot, "key"), ["key", "part"]).join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"), "waiting")
     # Shingles of the waiting documents: those of one document only, those of few, and the common ones.
     every = space.cut(shingle_rows(texts.join(waiting.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "shingles")
     counted = every.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
@@ -227,12 +235,12 @@ def grouped(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     # Links that common shingles alone allow: within a bucket, for documents outside its centre's component.
     least = told.groupBy("key").agg(F.min("n").alias("least"))
     other_n = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    able = space.cut(told.join(least, "key").where(enough(F.col("common"), F.col("n"), other_n)).drop("least"), "able")
+    able = space.cut(told.join(copied(least, hot, "key"), ["key", "part"]).where(enough(F.col("common"), F.col("n"), other_n)).drop("least"), "able")
     apart = (F.col("component") != F.col("main")).alias("apart")
     side = lambda x, *more: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "common", *more)]
     # A crowded bucket is dealt to tasks by tiles: every pair of its documents lies in exactly one.
     crowds = able.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
-    tiled = able.join(crowds, "key", "left").na.fill(1, ["tiles"]).withColumn("tile", F.pmod(F.hash("rep"), F.col("tiles")))
+    tiled = able.join(copied(crowds, hot, "key"), ["key", "part"], "left").na.fill(1, ["tiles"]).withColumn("tile", F.pmod(F.hash("rep"), F.col("tiles")))
     across = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     left = tiled.where("component <> main").select("key", F.col("tile").alias("row"), across.alias("column"), *side("a", "far"))
     right = tiled.select("key", across.alias("row"), F.col("tile").alias("column"), *side("b", "far"), apart)
