@@ -39,7 +39,7 @@ from sigloom.llm.storage import Workspace, trimmed
 #: Bands, and rows of a band.  With 32 of 5, a pair of similarity 0.8 shares no bucket with probability 3e-6, one of 0.85 with 7e-9.
 BANDS, ROWS = 32, 5
 #: Members of one centre that are compared in one group.
-BLOCK = 512
+BLOCK = 128
 #: Documents that a rare shingle has at most; it only decides by which of two exact ways a pair is found.
 RARE = 64
 #: A bucket of more waiting documents than this is compared in tiles of two parts of about so many.
