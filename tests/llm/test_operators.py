@@ -402,9 +402,11 @@ def test_groups_equal_brute_force(spark):
 
 
 def test_crowded_buckets_in_tiles_equal_brute_force(spark, monkeypatch):
-    """Texts made from a template, so that buckets hold many components; tiles, blocks and rare shingles made small."""
+    """Texts made from a template, so that buckets hold many components; tiles, blocks, parts of hot keys and rare shingles made small."""
+    from sigloom.llm import hot_keys
     from sigloom.llm import minhash_dedup as md
 
+    monkeypatch.setattr(hot_keys, "LEAST", 3)
     monkeypatch.setattr(md, "TILE", 4), monkeypatch.setattr(md, "BLOCK", 5), monkeypatch.setattr(md, "RARE", 2)
     rng = random.Random(11)
     words = [f"w{k}" for k in range(60)]
@@ -461,7 +463,23 @@ def test_dedup_on_awkward_rows(spark):
     assert kept.where("doc_id IN (9, 10, 11)").count() == 1
 
 
-def test_components(spark):
+def test_hot_keys_join_like_plain_ones(spark, monkeypatch):
+    from sigloom.llm import hot_keys
+
+    monkeypatch.setattr(hot_keys, "LEAST", 10)
+    many = spark.range(500).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 40 END AS key")
+    few = many.groupBy("key").count().withColumnRenamed("count", "n")
+    hot = hot_keys.hot_keys(few, "key", 500)
+    rows = hot_keys.dealt(many, hot, "key", "id")
+    got = rows.join(hot_keys.copied(few, hot, "key"), ["key", "part"]).select("id", "key", "n")
+    assert sorted(got.collect()) == sorted(many.join(few, "key").select("id", "key", "n").collect())
+    assert rows.where("key = 0").agg(F.countDistinct("part")).first()[0] > 10
+
+
+def test_components(spark, monkeypatch):
+    from sigloom.llm import hot_keys
+
+    monkeypatch.setattr(hot_keys, "LEAST", 2)
     chain = [(k, k + 1) for k in range(200)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3), (300, 301)]
     got = dict(components(spark.createDataFrame(chain, "a long, b long"), Workspace(spark, "c")).collect())
     assert got == {**{k: 0 for k in range(201)}, 1000: 1000, 1001: 1000, 300: 300, 301: 300}
